@@ -34,6 +34,8 @@ LEXICON_WORDS = 1 << 16
 PIECE_BYTES = 2 << 20
 #: Longer words are merged one by one with a heap.
 LONG_WORD = 256
+#: Words whose ids a task keeps at most.
+REMEMBERED = 1 << 19
 
 _U = np.uint64
 _NONE = np.iinfo(np.int64).max
@@ -60,7 +62,8 @@ class HashMap:
 
     @staticmethod
     def _home(keys: np.ndarray, size: int) -> np.ndarray:
-        return (mixed(keys) & _U(size - 1)).astype(np.int64)
+        with np.errstate(over="ignore"):
+            return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(65 - int(size).bit_length())).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Row numbers, -1 where a key is missing."""
@@ -123,14 +126,17 @@ class Vocabulary:
         rank = np.full(len(token), _NONE)
         inner = np.flatnonzero(~last)
         rank[inner] = self.ranks(token[inner], token[inner + 1])
-        done: list[tuple[np.ndarray, np.ndarray]] = []
+        begin_at = np.cumsum(n[short]) - n[short]
+        room = np.full(len(token), -1)  # a word's ids go to the first places of its bytes
         while len(token):
             begin = np.flatnonzero(np.r_[True, last[:-1]])
             least = np.minimum.reduceat(rank, begin)
             over = least == _NONE
             if over.any():
                 out = np.repeat(over, np.diff(np.append(begin, len(token))))
-                done.append((word[out], token[out]))
+                ended, sizes_over = word[out], np.diff(np.append(begin, len(token)))[over]
+                room[begin_at[ended] + np.arange(len(ended)) - np.repeat(np.cumsum(sizes_over) - sizes_over, sizes_over)] = token[out]
+                sizes[short[word[begin[over]]]] = sizes_over
                 word, token, last, rank = word[~out], token[~out], last[~out], rank[~out]
                 if not len(token):
                     break
@@ -150,13 +156,7 @@ class Vocabulary:
             left = spot[(spot > 0)] - 1
             left = left[~last[left]]
             rank[left] = self.ranks(token[left], token[left + 1])
-        if done:
-            words, tokens = (np.concatenate(x) for x in zip(*done, strict=True))
-            order = np.argsort(words, kind="stable")
-            tokens = tokens[order]
-            sizes[short] = np.bincount(words, minlength=len(short))
-        else:
-            tokens = np.zeros(0, np.int64)
+        tokens = room[room >= 0]
         out_at = np.zeros(len(n) + 1, np.int64)
         np.cumsum(sizes, out=out_at[1:])
         out = np.empty(out_at[-1], np.int64)
@@ -413,41 +413,60 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary) -> Transducer:
     return Transducer.build(words, *vocabulary.merge(np.frombuffer(b"".join(words), np.uint8), at))
 
 
-def encode_piece(texts: Texts, vocabulary: Vocabulary, lexicon: Transducer) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts, one after another, and where each text's begin."""
-    split = Split(texts, vocabulary.added)
-    data, at = split.distinct()
-    place = lexicon.find(data, at)
-    ids_at, ids = lexicon.parts["ids_at"], lexicon.parts["ids"]
-    sizes = np.zeros(len(place), np.int64)
-    known = np.flatnonzero(place >= 0)
-    sizes[known] = ids_at[place[known] + 1] - ids_at[place[known]]
-    unknown = np.flatnonzero(place < 0)
-    raw = data.tobytes() if vocabulary.added else b""
-    special = {int(i): vocabulary.added[w] for i in unknown if (w := _as_added(raw[at[i] : at[i + 1]], vocabulary.added)) is not None} if any(w.encode() in raw for w in vocabulary.added) else {}
-    plain = np.array([i for i in unknown if int(i) not in special], np.int64) if special else unknown
-    merged, merged_at = vocabulary.merge(*gathered(data, at[plain], at[plain + 1])) if len(plain) else (np.zeros(0, np.int64), np.zeros(1, np.int64))
-    sizes[plain] = np.diff(merged_at)
-    for i in special:
-        sizes[i] = 1
-    pool_at = np.zeros(len(place) + 1, np.int64)
-    np.cumsum(sizes, out=pool_at[1:])
-    pool = np.empty(pool_at[-1], np.int32)
-    kind = np.full(len(place), 0, np.int8)
-    kind[plain] = 1
-    for i in special:
-        kind[i] = 2
-        pool[pool_at[i]] = special[i]
-    spread = np.repeat(kind, sizes)
-    pool[spread == 1] = merged
-    if len(known):
-        pool[spread == 0] = gathered(ids, ids_at[place[known]].astype(np.int64), ids_at[place[known] + 1].astype(np.int64))[0]
-    out, word_at = gathered(pool, pool_at[split.which], pool_at[split.which + 1])
-    return out, word_at[split.first]
-
-
-def _as_added(raw: bytes, added: dict[str, int]) -> str | None:
-    return next((w for w in added if w.encode() == raw), None)
+class Encoder:
+    """Encodes pieces of text in one task; remembers at most ``REMEMBERED`` words' ids from earlier pieces."""
+
+    def __init__(self, vocabulary: Vocabulary, lexicon: Transducer):
+        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.known = np.zeros(0, _U), HashMap(np.zeros(0, _U))
+        self.pool, self.pool_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's begin."""
+        split = Split(texts, self.vocabulary.added)
+        row = self.known.get(split.hashes).astype(np.int64)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            if len(self.hashes) + len(new) > REMEMBERED and len(self.hashes):
+                self._forget()
+                row, new = np.full(len(row), -1), np.arange(len(row))
+            ids, at = self._word_ids(*split.distinct(new))
+            row[new] = len(self.hashes) + np.arange(len(new))
+            self.hashes = np.concatenate([self.hashes, split.hashes[new]])
+            self.known = HashMap(self.hashes)
+            self.pool_at = np.concatenate([self.pool_at, self.pool_at[-1] + at[1:]])
+            self.pool = np.concatenate([self.pool, ids])
+        word = row[split.which]
+        out, word_at = gathered(self.pool, self.pool_at[word], self.pool_at[word + 1])
+        return out, word_at[split.first]
+
+    def _word_ids(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words: from the automaton, of an added token, or merged."""
+        place = self.lexicon.find(data, at)
+        ids_at, ids = self.lexicon.parts["ids_at"], self.lexicon.parts["ids"]
+        added = self.vocabulary.added
+        raw = data.tobytes() if added else b""
+        if any(w.encode() in raw for w in added):
+            special = {int(i): w for i in np.flatnonzero(place < 0) if (w := added.get(raw[at[i] : at[i + 1]].decode("utf-8"))) is not None}
+        else:
+            special = {}
+        source = np.where(place >= 0, 0, 1)
+        source[list(special)] = 2
+        known, plain = np.flatnonzero(source == 0), np.flatnonzero(source == 1)
+        merged, merged_at = self.vocabulary.merge(*gathered(data, at[plain], at[plain + 1])) if len(plain) else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+        found, found_at = gathered(ids, ids_at[place[known]].astype(np.int64), ids_at[place[known] + 1].astype(np.int64))
+        sizes = np.ones(len(place), np.int64)
+        sizes[known], sizes[plain] = np.diff(found_at), np.diff(merged_at)
+        out_at = np.zeros(len(place) + 1, np.int64)
+        np.cumsum(sizes, out=out_at[1:])
+        out, spread = np.empty(out_at[-1], np.int32), np.repeat(source, sizes)
+        out[spread == 0], out[spread == 1] = found, merged
+        for i, token in special.items():
+            out[out_at[i]] = token
+        return out, out_at
 
 
 class Tokenizer:
@@ -468,9 +487,9 @@ class Tokenizer:
             return vocabulary, Transducer.mapped(raw, name)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocabulary, lexicon = setup()
+            encoder = Encoder(*setup())
             for piece in chunks(batches, "text", PIECE_BYTES):
-                ids, at = encode_piece(Texts(piece.column("text")), vocabulary, lexicon)
+                ids, at = encoder.encode(Texts(piece.column("text")))
                 yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in keep), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], [*keep, "ids"])
 
         kinds = dict(df.dtypes)
