@@ -91,7 +91,7 @@ def seeded(n: int, seed: int) -> np.ndarray:
         return mixed((np.arange(1, n + 1, dtype=_U) + _U(seed * 1_000_003 % (1 << 63))) * _U(0x9E3779B97F4A7C15))
 
 
-_BYTE_VALUE = seeded(256, 7)
+BYTE_VALUE = seeded(256, 7)
 
 
 def prefix_hashes(symbols: np.ndarray) -> np.ndarray:
@@ -146,7 +146,7 @@ class Texts:
 
     def word_hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
         data = LOWER[self.data] if lower else self.data
-        return span_hashes(prefix_hashes(_BYTE_VALUE[data]), starts, ends)
+        return span_hashes(prefix_hashes(BYTE_VALUE[data]), starts, ends)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

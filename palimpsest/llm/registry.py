@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup
+from . import bpe, minhash_dedup, toxicity
 
 QUERIES = {
+    "op1_bpe": bpe.query,
     "op2_minhash_dedup": minhash_dedup.query,
+    "op6_toxicity": toxicity.query,
 }
 
 ORACLES: dict[str, str] = {}
