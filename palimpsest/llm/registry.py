@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash_dedup, toxicity
+from . import bpe, minhash_dedup, secrets, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_minhash_dedup": minhash_dedup.query,
     "op6_toxicity": toxicity.query,
+    "op8_secrets": secrets.query,
 }
 
 ORACLES: dict[str, str] = {}
