@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash_dedup, secrets, toxicity
+from . import bpe, lz_fingerprint, minhash_dedup, secrets, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_minhash_dedup": minhash_dedup.query,
+    "op4_lz_fingerprint": lz_fingerprint.query,
     "op6_toxicity": toxicity.query,
     "op8_secrets": secrets.query,
 }
