@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, lz_fingerprint, minhash_dedup, secrets, toxicity
+from . import bpe, lz_fingerprint, minhash_dedup, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_minhash_dedup": minhash_dedup.query,
     "op4_lz_fingerprint": lz_fingerprint.query,
     "op6_toxicity": toxicity.query,
+    "op7_mixing": mixing.query,
     "op8_secrets": secrets.query,
 }
 
