@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lz_fingerprint, minhash_dedup, mixing, secrets, toxicity
+from . import bpe, chat, lz_fingerprint, minhash_dedup, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -11,6 +11,9 @@ QUERIES = {
     "op6_toxicity": toxicity.query,
     "op7_mixing": mixing.query,
     "op8_secrets": secrets.query,
+    "op10_chat": chat.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_chat": chat.ORACLE,
+}
