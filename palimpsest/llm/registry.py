@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, lz_fingerprint, minhash_dedup, mixing, secrets, toxicity
+from . import bitsliced, bpe, chat, lz_fingerprint, minhash_dedup, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_minhash_dedup": minhash_dedup.query,
     "op4_lz_fingerprint": lz_fingerprint.query,
+    "op5_bitsliced": bitsliced.query,
     "op6_toxicity": toxicity.query,
     "op7_mixing": mixing.query,
     "op8_secrets": secrets.query,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_bitsliced": bitsliced.ORACLE,
     "op10_chat": chat.ORACLE,
 }
