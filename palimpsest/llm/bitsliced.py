@@ -29,8 +29,8 @@ from ._common import prepare, read_table, stored
 
 K = 10
 SCALE = 1024
-LEVEL_BITS = 7
-QUERY_BITS = 5
+LEVEL_BITS = 8
+QUERY_BITS = 8
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 256
 #: Scaled components and vector lengths up to here cannot make a score that exceeds a long.
 MOST_SCORE = 1 << 62
