@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bitsliced, bpe, chat, lz_fingerprint, minhash_dedup, mixing, secrets, toxicity
+from . import bitsliced, bpe, chat, lz_fingerprint, minhash_dedup, mixing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_minhash_dedup": minhash_dedup.query,
+    "op3_quality": quality.query,
     "op4_lz_fingerprint": lz_fingerprint.query,
     "op5_bitsliced": bitsliced.query,
     "op6_toxicity": toxicity.query,
