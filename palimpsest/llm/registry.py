@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitsliced, bpe, chat, lz_fingerprint, minhash_dedup, mixing, quality, secrets, toxicity
+from . import bitsliced, bpe, chat, html_extract, lz_fingerprint, minhash_dedup, mixing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -13,10 +13,12 @@ QUERIES = {
     "op6_toxicity": toxicity.query,
     "op7_mixing": mixing.query,
     "op8_secrets": secrets.query,
+    "op9_html_extract": html_extract.query,
     "op10_chat": chat.query,
 }
 
 ORACLES: dict[str, str] = {
     "op5_bitsliced": bitsliced.ORACLE,
+    "op9_html_extract": html_extract.query,
     "op10_chat": chat.ORACLE,
 }
