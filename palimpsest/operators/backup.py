@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +17,17 @@ VERSION = 1
 _SCHEMA = "path string, role string, size long, sha256 string"
 
 
-def hashed(spark: SparkSession, store: Store, names: list[str]) -> DataFrame:
-    """path, size, sha256 of files, read on the executors."""
-    if not names:
-        return spark.createDataFrame([], "path string, size long, sha256 string")
-    top = store._fs.makeQualified(store._path("")).toString().rstrip("/")
-    files = spark.read.format("binaryFile").load([store.url(n) for n in names])
-    below = F.expr(f"substring(path, locate('{_tail(top)}/', path) + {len(_tail(top)) + 1})")
-    return files.select(below.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+def hashed(spark: SparkSession, store: Store, listed: list[tuple[str, int]]) -> DataFrame:
+    """path, size, sha256 of files (name, bytes), read on the executors. Spark passes over empty files, whose sum is known."""
+    schema = "path string, size long, sha256 string"
+    out = spark.createDataFrame([(n, 0, hashlib.sha256().hexdigest()) for n, size in listed if not size], schema)
+    full = [store.url(n) for n, size in listed if size]
+    if not full:
+        return out
+    top = _tail(store._fs.makeQualified(store._path("")).toString().rstrip("/"))
+    below = F.expr(f"substring(path, locate('{top}/', path) + {len(top) + 1})")
+    files = spark.read.format("binaryFile").load(full)
+    return out.unionByName(files.select(below.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")))
 
 
 def _tail(url: str) -> str:
@@ -32,7 +36,7 @@ def _tail(url: str) -> str:
 
 def _role(path: str) -> str:
     top = path.split("/")[0]
-    return {"_commits": "commit", "_claims": "claim", "log": "log", "checkpoints": "checkpoint", "archive": "archive"}.get(top, "catalog")
+    return {"commits": "commit", "claims": "claim", "log": "log", "checkpoints": "checkpoint", "archive": "archive"}.get(top, "catalog")
 
 
 def backup(engine: Engine, target: str) -> int:
@@ -42,17 +46,17 @@ def backup(engine: Engine, target: str) -> int:
         raise BackupError(f"{target} isn't empty")
     with engine.write_lock:
         checkpoint(engine)
-        names = [n for n, _ in store.files("") if not n.startswith("_staged/")]
-        for n in names:
+        listed = store.files("")
+        for n, _ in listed:
             store.copy(n, other.url(n))
-        sums = {r["path"]: r for r in hashed(spark, store, names).collect()}
-    entries = [{"path": n, "role": _role(n), "size": sums[n]["size"], "sha256": sums[n]["sha256"]} for n in names]
-    other.write("_manifest.json", json.dumps({"version": VERSION, "files": entries}))
-    return len(names)
+        sums = {r["path"]: r for r in hashed(spark, store, listed).collect()}
+    entries = [{"path": n, "role": _role(n), "size": sums[n]["size"], "sha256": sums[n]["sha256"]} for n, _ in listed]
+    other.write("manifest.json", json.dumps({"version": VERSION, "files": entries}))
+    return len(listed)
 
 
 def manifest(spark: SparkSession, place: str) -> DataFrame:
-    x = json.loads(Store(spark, place).read("_manifest.json"))
+    x = json.loads(Store(spark, place).read("manifest.json"))
     if x.get("version") != VERSION or not x.get("files"):
         raise BackupError("the manifest has another version or no files")
     paths = [f["path"] for f in x["files"]]
@@ -67,9 +71,13 @@ def verify(spark: SparkSession, place: str) -> int:
     """Holds all files against the manifest; gives their number, or fails with the first difference."""
     listed = manifest(spark, place)
     store = Store(spark, place)
-    there = hashed(spark, store, [n for n, _ in store.files("") if n != "_manifest.json" and not n.startswith("_staged/")])
+    there = hashed(spark, store, [f for f in store.files("") if f[0] != "manifest.json"])
     both = listed.alias("m").join(there.alias("t"), "path", "full_outer")
-    bad = both.where(~(F.col("m.size").eqNullSafe(F.col("t.size")) & F.col("m.sha256").eqNullSafe(F.col("t.sha256")))).select("path").first()
+    differs = ~(F.col("m.size").eqNullSafe(F.col("t.size")) & F.col("m.sha256").eqNullSafe(F.col("t.sha256")))
+    try:
+        bad = both.where(differs).select("path").first()
+    except Exception as e:  # the file system keeps checksums of its own
+        raise BackupError(f"a file of {place} can't be read") from e
     if bad is not None:
         raise BackupError(f"{bad['path']} differs from the manifest")
     return listed.count()

@@ -72,8 +72,8 @@ class Engine:
         self.spark = spark
         self.log = ChangeLog(spark, root)
         store = self.log.store
-        self.catalog = Catalog.from_json(store.read("_catalog.json"), master_key is not None) if store.exists("_catalog.json") else Catalog(master_key is not None)
-        keys = json.loads(store.read("_keys.json")) if store.exists("_keys.json") else {}
+        self.catalog = Catalog.from_json(store.read("catalog.json"), master_key is not None) if store.exists("catalog.json") else Catalog(master_key is not None)
+        keys = json.loads(store.read("keys.json")) if store.exists("keys.json") else {}
         self.cipher = KeyStore(spark, master_key, keys) if master_key is not None else NoCipher()
         self.locks = LockManager()
         self.active: set[Reader] = set()
@@ -88,12 +88,12 @@ class Engine:
         return table
 
     def _save(self) -> None:
-        self.log.store.write("_catalog.json", self.catalog.to_json())
+        self.log.store.write("catalog.json", self.catalog.to_json())
         if isinstance(self.cipher, KeyStore):
             for t in self.catalog.tables.values():
                 if t.encrypted:
                     self.cipher.key(t.name)
-            self.log.store.write("_keys.json", self.cipher.to_json())
+            self.log.store.write("keys.json", self.cipher.to_json())
 
     def rotate_master_key(self, master: bytes) -> None:
         self.cipher.rotate(master)

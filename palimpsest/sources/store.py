@@ -66,7 +66,7 @@ class Store:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
 
     def files(self, folder: str) -> list[tuple[str, int]]:
-        """(path below the folder, bytes) of all files under it, but for checksums of the local file system."""
+        """(path below the folder, bytes) of all files under it, but for those that Spark passes over: names that begin with a dot or underscore."""
         path = self._path(folder)
         if not self._fs.exists(path):
             return []
@@ -75,7 +75,7 @@ class Store:
         while each.hasNext():
             s = each.next()
             name = s.getPath().toString().removeprefix(top)
-            if not name.endswith(".crc"):
+            if not any(part[0] in "._" for part in name.split("/")):
                 found.append((name, s.getLen()))
         return sorted(found)
 
