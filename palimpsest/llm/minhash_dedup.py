@@ -5,15 +5,16 @@ With fewer words the whole sequence is the one shingle; null, empty and blank te
 Two documents are linked if 100 * intersection >= 85 * union of their full sets.
 
 1. One pass over the texts gives each document its set size, a 128-bit sum over its set, ``BANDS * ROWS`` minima under
-   multiply-add hashes modulo 2**64, and a hash of each band of minima. A pair at the threshold shares no band with a
-   chance of (1 - 0.85**5)**32 < 1e-8.
+   multiply-add hashes modulo 2**64, a hash of each band of minima, and a sketch: one bit of each of ``64 * SKETCH`` minima.
+   A pair at the threshold shares no band with a chance of (1 - 0.85**6)**36 < 5e-8.
 2. Documents with equal sets form a class; only its smallest doc_id goes on. This, and the smallest member of each
    band bucket, are aggregates that combine before they shuffle, so no group meets in one task.
-3. In rounds, each bucket's unsettled members are paired with one leader. A pair is dropped if the signatures agree so
-   little that a linked pair would need a six-sigma draw, and is then confirmed or refused on the full sets. Components
-   follow by alternating large-star and small-star.
-4. Lastly, members outside the component of their bucket's leader are compared with all members in other components.
-   After that every pair that shares a bucket is linked, refused, or already in one component. No bucket is capped.
+3. Each bucket's members are paired with its leader. A pair is dropped if its set sizes rule out a link, or if its
+   sketches differ so much that a linked pair would need a six-sigma draw; the rest is confirmed or refused on the full
+   sets. Components follow by alternating large-star and small-star.
+4. Lastly, members outside the component of their bucket's leader are compared with all members in other components,
+   under the same two conditions, inside the join. After that every pair that shares a bucket is linked, refused, or
+   already in one component. No bucket is capped.
 
 Repeated doc_ids: rows of equal id are one document whose set is the union of theirs. Rows whose doc_id is null have no
 place in the result. Empty tables give no rows.
@@ -22,28 +23,29 @@ place in the result. Empty tables give no rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from ._common import Texts, documents_view, map_texts, mixed, prepare, read_table, seeded, stored
 
 SHINGLE = 5
-BANDS, ROWS = 32, 5
-#: A pair whose signatures agree in fewer places than this cannot have similarity 0.85 but with a chance of about 1e-9.
-LEAST_AGREEING = int(BANDS * ROWS * 0.68)
+BANDS, ROWS = 36, 6
+#: 64-bit words of a sketch. A linked pair's sketches agree in 0.925 of the bits; six deviations below that are let pass.
+SKETCH = 3
+MOST_DIFFERING = int(64 * SKETCH * 0.075 + 6 * (64 * SKETCH * 0.075 * 0.925) ** 0.5)
 #: Members that share one copy of their leader's set when sets are compared.
 SALTED = 256
-#: Rounds of leaders before what is unsettled is compared in full.
-LEADER_ROUNDS = 2
+#: Edges of one partition where edges are few and steps many.
+EDGES_A_TASK = 500_000
 
 _U = np.uint64
 _MULTIPLY = seeded(BANDS * ROWS, 11) | _U(1)
 _ADD = seeded(BANDS * ROWS, 13)
-_PLACE = seeded(SHINGLE, 17) | _U(1)
+_PLACE = seeded(max(SHINGLE, ROWS), 17) | _U(1)
 _SHORT = seeded(SHINGLE, 19)
+_SKETCH_COLUMNS = [f"sketch_{k}" for k in range(SKETCH)]
+_PRINTS = "doc_id long, n_shingles long, sum_a long, sum_b long, " + ", ".join(f"{c} long" for c in _SKETCH_COLUMNS) + ", bands array<long>"
 
 
 def shingles(texts: Texts, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -107,18 +109,17 @@ def _summed(doc_ids: pa.Array, values: np.ndarray, at: np.ndarray) -> pa.RecordB
     n = np.diff(at)
     full = np.flatnonzero(n)
     signature = minima(values, np.append(at[:-1][full], at[-1]))
-    signs = [None] * len(n)
-    low = signature.astype(np.uint8)
+    bits = np.packbits((signature[:, : 64 * SKETCH] & _U(1)).astype(np.uint8), axis=1).view(np.int64).reshape(-1, SKETCH)
     bands, spot = band_hashes(signature), np.zeros(len(n) + 1, np.int64)
     spot[1:] = np.cumsum(np.where(n > 0, BANDS, 0))
-    for row, i in enumerate(full):
-        signs[i] = low[row].tobytes()
+    signs = np.zeros((len(n), SKETCH), np.int64)
+    signs[full] = bits
     sums = [np.zeros(len(n), _U) for _ in range(2)]
     with np.errstate(over="ignore"):
         for s, v in zip(sums, (values, mixed(values ^ _SHORT[0])), strict=True):
             if len(full):
                 s[full] = np.add.reduceat(v, at[:-1][full])
-    return pa.RecordBatch.from_arrays([doc_ids, pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(signs, pa.binary()), _list_column(bands.reshape(-1), spot)], ["doc_id", "n_shingles", "sum_a", "sum_b", "signature", "bands"])
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *(pa.array(np.ascontiguousarray(signs[:, k])) for k in range(SKETCH)), _list_column(bands.reshape(-1), spot)], ["doc_id", "n_shingles", "sum_a", "sum_b", *_SKETCH_COLUMNS, "bands"])
 
 
 def _sets(piece: pa.RecordBatch) -> pa.RecordBatch:
@@ -126,11 +127,21 @@ def _sets(piece: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([piece.column("doc_id"), _list_column(values, at)], ["doc_id", "set"])
 
 
-def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype="int32")
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
-    return pd.Series((x == y).sum(axis=1).astype(np.int32))
+def _may_link(a: str, b: str):
+    """Whether set sizes and sketches of two sides, columns with the suffixes a and b, allow a link."""
+    size = F.least(f"n_{a}", f"n_{b}") * 100 >= F.greatest(f"n_{a}", f"n_{b}") * 85
+    differing = sum((F.bit_count(F.col(f"{c}_{a}").bitwiseXOR(F.col(f"{c}_{b}"))) for c in _SKETCH_COLUMNS[1:]), F.bit_count(F.col(f"{_SKETCH_COLUMNS[0]}_{a}").bitwiseXOR(F.col(f"{_SKETCH_COLUMNS[0]}_{b}"))))
+    return size & (differing <= MOST_DIFFERING)
+
+
+def _side(df: DataFrame, x: str, *keep) -> DataFrame:
+    """doc_id as x, n_shingles and sketch with the suffix x."""
+    return df.select(*keep, F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in _SKETCH_COLUMNS))
+
+
+def _few(edges: DataFrame, n: int) -> DataFrame:
+    """``edges``, some n rows, stored in as few partitions as they need."""
+    return stored(edges.coalesce(8 + n // EDGES_A_TASK))
 
 
 def star_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -139,7 +150,8 @@ def star_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Every step is a minimum by node that combines before its shuffle, and a join of edges with those minima; a node of
     many edges is never gathered. Nodes without an edge don't occur.
     """
-    pairs = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    n = edges.count()
+    pairs = _few(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), n)
     last = None
     while True:
         summary = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -147,63 +159,64 @@ def star_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         last = summary
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Minima are stored, so that both sides of a join with them are plain shuffles, which Spark can split at hot nodes.
+        least = _few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n)
         # Large-star: each larger neighbour of u goes to the least of u and its neighbours.
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stored(large)
+        large = _few(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), n)
         # Small-star: u and its smaller neighbours go to the least of these.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = _few(large.groupBy("u").agg(F.min("v").alias("m")), n)
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        pairs = stored(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        pairs = _few(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), n)
     roots = pairs.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return stored(roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct()))
+    return _few(roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct()), n)
 
 
-def _confirmed(pairs: DataFrame, prints: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those that are linked: first by signatures, then on the full sets."""
-    side = lambda x: prints.select(F.col("doc_id").alias(x), F.col("signature").alias(f"sign_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").where("100 * least(n_a, n_b) >= 85 * greatest(n_a, n_b)")
-    likely = stored(likely.where(F.pandas_udf(_agreeing, IntegerType())("sign_a", "sign_b") >= LEAST_AGREEING).select("a", "b", "n_a", "n_b"))
+def _confirmed(likely: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the distinct pairs (a, b, n_a, n_b), those whose full sets are linked."""
+    likely = stored(likely)
     wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(map_texts(docs.join(wanted, "doc_id", "left_semi"), _sets, "doc_id long, set array<long>").groupBy("doc_id").agg(F.flatten(F.collect_list("set")).alias("set")))
+    sets = map_texts(docs.join(wanted, "doc_id", "left_semi"), _sets, "doc_id long, set array<long>")
+    sets = stored(sets.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("set")))
     # The side with more partners is b; its set goes to as many salts as its partners fill.
-    salts = likely.groupBy("b").agg(F.floor(F.count("*") / SALTED).cast("int").alias("salts"))
+    salts = stored(likely.groupBy("b").agg(F.floor(F.count("*") / SALTED).cast("int").alias("salts")))
     left = likely.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts") + 1).cast("int"))
     left = left.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
     right = salts.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b").select("b", "set_b", F.explode(F.sequence(F.lit(0), "salts")).alias("salt"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return left.join(right, ["b", "salt"]).withColumn("shared", shared).where("100L * shared >= 85L * (n_a + n_b - shared)").select("a", "b")
+    return stored(left.join(right, ["b", "salt"]).withColumn("shared", shared).where("100L * shared >= 85L * (n_a + n_b - shared)").select("a", "b"))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: see the module's text."""
-    spark = documents.sparkSession
-    prepare(spark)
+    prepare(documents.sparkSession)
     docs = documents_view(documents).where("doc_id is not null")
-    prints = stored(map_texts(docs, _fingerprint, "doc_id long, n_shingles long, sum_a long, sum_b long, signature binary, bands array<long>"))
+    prints = stored(map_texts(docs, _fingerprint, _PRINTS))
     if prints.groupBy("doc_id").count().where("count > 1").limit(1).count():
         prints = stored(_united(docs))
-    classes = prints.where("n_shingles > 0").groupBy("sum_a", "sum_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classed = stored(prints.where("n_shingles > 0").join(classes, ["sum_a", "sum_b", "n_shingles"]).select("doc_id", "rep"))
-    reps = stored(prints.join(classed.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n_shingles", "signature", "bands"))
-    members = reps.select(F.explode("bands").alias("band"), "doc_id")
-    shared = members.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
-    buckets = stored(members.join(shared, "band"))
-    edges = stored(_confirmed(buckets.where("doc_id > leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct(), reps, docs))
-    for _ in range(LEADER_ROUNDS):
-        unsettled = _unsettled(buckets, star_components(edges))
-        leaders = unsettled.groupBy("band").agg(F.min(F.when(F.col("component") != F.col("lead"), F.col("doc_id"))).alias("leader"), F.min("lead").alias("lead"))
-        more = unsettled.where("component <> lead").drop("lead").join(leaders, "band").where("doc_id > leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
-        found = stored(_confirmed(more, reps, docs))
-        if not found.limit(1).count():
-            break
-        edges = stored(edges.unionByName(found).distinct())
+    full = prints.where("n_shingles > 0")
+    classes = stored(full.groupBy("sum_a", "sum_b", "n_shingles").agg(F.min("doc_id").alias("rep")))
+    classed = stored(full.join(classes, ["sum_a", "sum_b", "n_shingles"]).select("doc_id", "rep"))
+    reps = full.join(classed.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+    members = stored(_side(reps.select("*", F.explode("bands").alias("band")), "a", "band"))
+    leaders = members.groupBy("band").agg(F.min_by(F.struct(*(c for c in members.columns if c != "band")), "a").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    leaders = leaders.select("band", *(F.col(f"lead.{c}").alias(c[:-1] + "b" if c != "a" else "b") for c in members.columns if c != "band"))
+    buckets = stored(members.join(leaders, "band"))
+    pairs = buckets.where("a > b").where(_may_link("a", "b")).select("a", "b", "n_a", "n_b").distinct()
+    edges = _confirmed(pairs, docs)
     components = star_components(edges)
-    unsettled = stored(_unsettled(buckets, components))
-    odd = unsettled.where("component <> lead").select("band", F.col("doc_id").alias("a"), F.col("component").alias("of_a"))
-    rest = odd.join(unsettled.select("band", F.col("doc_id").alias("b"), F.col("component").alias("of_b")), "band").where("of_a <> of_b")
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    found = stored(_confirmed(rest, reps, docs))
+    own = components.select(F.col("node").alias("a"), F.col("component").alias("own_a"))
+    of_leader = components.select(F.col("node").alias("b"), F.col("component").alias("own_b"))
+    known = buckets.join(own, "a", "left").join(of_leader, "b", "left").withColumn("own", F.coalesce("own_a", "a")).withColumn("odd", F.col("own") != F.coalesce("own_b", "b"))
+    known = known.drop("own_a", "own_b", "b", "n_b", *(f"{c}_b" for c in _SKETCH_COLUMNS))
+    open_bands = known.where("odd").select("band").distinct()
+    known = stored(known.join(open_bands, "band", "left_semi"))
+    renamed = known.select("band", *(F.col(c).alias(c[:-1] + "b" if c != "a" else "b") for c in known.columns if c == "a" or c.endswith("_a")), F.col("own").alias("own_b"), F.col("odd").alias("odd_b"))
+    # Of two odd members each pair comes once; an odd and another member meet once as well.
+    rest = known.where("odd").join(renamed, (known["band"] == renamed["band"]) & (F.col("own") != F.col("own_b")) & (~F.col("odd_b") | (F.col("a") > F.col("b"))) & _may_link("a", "b"))
+    swap = F.col("a") < F.col("b")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    rest = rest.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b")).distinct()
+    found = _confirmed(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), docs)
     if found.limit(1).count():
         components = star_components(edges.unionByName(found))
     linked = classed.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
@@ -212,15 +225,6 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
-def _unsettled(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component, with their own and their leader's."""
-    own = components.select(F.col("node").alias("doc_id"), F.col("component").alias("own"))
-    of_leader = components.select(F.col("node").alias("leader"), F.col("component").alias("of_leader"))
-    all_members = buckets.join(own, "doc_id", "left").join(of_leader, "leader", "left").select("band", "doc_id", F.coalesce("own", "doc_id").alias("component"), F.coalesce("of_leader", "leader").alias("lead"))
-    mixed_buckets = all_members.where("component <> lead").select("band").distinct()
-    return all_members.join(mixed_buckets, "band", "left_semi")
-
-
 def _united(docs: DataFrame) -> DataFrame:
     """Fingerprints where doc_ids repeat: of the union of the sets of each id's rows."""
     sets = map_texts(docs, _sets, "doc_id long, set array<long>").groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("set")))).alias("set"))
@@ -232,7 +236,7 @@ def _united(docs: DataFrame) -> DataFrame:
             np.cumsum([len(x) for x in lists], out=at[1:])
             yield _summed(batch.column("doc_id"), np.concatenate(lists), at)
 
-    return sets.mapInArrow(run, "doc_id long, n_shingles long, sum_a long, sum_b long, signature binary, bands array<long>")
+    return sets.mapInArrow(run, _PRINTS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
