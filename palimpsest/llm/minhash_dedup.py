@@ -6,11 +6,12 @@ Two documents are linked if 100 * intersection >= 85 * union of their full sets.
 
 1. One pass over the texts gives each document its set size, a 128-bit sum over its set, ``BANDS * ROWS`` minima under
    multiply-add hashes modulo 2**64, a hash of each band of minima, and a sketch: one bit of each of ``64 * SKETCH`` minima.
+   The bands take the first minima, the sketch takes more.
    A pair at the threshold shares no band with a chance of (1 - 0.85**6)**36 < 5e-8.
 2. Documents with equal sets form a class; only its smallest doc_id goes on. This, and the smallest member of each
    band bucket, are aggregates that combine before they shuffle, so no group meets in one task.
 3. Each bucket's members are paired with its leader. A pair is dropped if its set sizes rule out a link, or if its
-   sketches differ so much that a linked pair would need a six-sigma draw; the rest is confirmed or refused on the full
+   sketches differ so much that a linked pair would need a five-sigma draw; the rest is confirmed or refused on the full
    sets. Components follow by alternating large-star and small-star.
 4. Lastly, members outside the component of their bucket's leader are compared with all members in other components,
    under the same two conditions, inside the join. After that every pair that shares a bucket is linked, refused, or
@@ -31,17 +32,18 @@ from ._common import Texts, documents_view, map_texts, mixed, prepare, read_tabl
 
 SHINGLE = 5
 BANDS, ROWS = 36, 6
-#: 64-bit words of a sketch. A linked pair's sketches agree in 0.925 of the bits; six deviations below that are let pass.
-SKETCH = 3
-MOST_DIFFERING = int(64 * SKETCH * 0.075 + 6 * (64 * SKETCH * 0.075 * 0.925) ** 0.5)
+#: 64-bit words of a sketch. A linked pair's sketches agree in 0.925 of the bits; five deviations below that are let pass.
+SKETCH = 8
+MOST_DIFFERING = int(64 * SKETCH * 0.075 + 5 * (64 * SKETCH * 0.075 * 0.925) ** 0.5)
+HASHES = max(BANDS * ROWS, 64 * SKETCH)
 #: Members that share one copy of their leader's set when sets are compared.
 SALTED = 256
 #: Edges of one partition where edges are few and steps many.
 EDGES_A_TASK = 500_000
 
 _U = np.uint64
-_MULTIPLY = seeded(BANDS * ROWS, 11) | _U(1)
-_ADD = seeded(BANDS * ROWS, 13)
+_MULTIPLY = seeded(HASHES, 11) | _U(1)
+_ADD = seeded(HASHES, 13)
 _PLACE = seeded(max(SHINGLE, ROWS), 17) | _U(1)
 _SHORT = seeded(SHINGLE, 19)
 _SKETCH_COLUMNS = [f"sketch_{k}" for k in range(SKETCH)]
@@ -75,7 +77,7 @@ def shingles(texts: Texts, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
 
 def minima(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The smallest value of each set under each hash; sets: ``values[at[i]:at[i + 1]]``, none empty."""
-    out = np.empty((len(at) - 1, BANDS * ROWS), _U)
+    out = np.empty((len(at) - 1, HASHES), _U)
     step = 1 << 16
     begin = 0
     while begin < len(at) - 1:  # a block of sets that stays in cache
@@ -83,7 +85,7 @@ def minima(values: np.ndarray, at: np.ndarray) -> np.ndarray:
         block, where = values[at[begin] : at[end]], at[begin:end] - at[begin]
         scratch = np.empty_like(block)
         with np.errstate(over="ignore"):
-            for k in range(BANDS * ROWS):
+            for k in range(HASHES):
                 np.multiply(block, _MULTIPLY[k], out=scratch)
                 np.add(scratch, _ADD[k], out=scratch)
                 out[begin:end, k] = np.minimum.reduceat(scratch, where)
@@ -93,7 +95,7 @@ def minima(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def band_hashes(signature: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        rows = (signature.reshape(len(signature), BANDS, ROWS) * _PLACE[:ROWS]).sum(axis=2, dtype=_U)
+        rows = (signature[:, : BANDS * ROWS].reshape(len(signature), BANDS, ROWS) * _PLACE[:ROWS]).sum(axis=2, dtype=_U)
         return mixed(rows + seeded(BANDS, 23))
 
 
@@ -136,7 +138,7 @@ def _may_link(a: str, b: str):
 
 def _side(df: DataFrame, x: str, *keep) -> DataFrame:
     """doc_id as x, n_shingles and sketch with the suffix x."""
-    return df.select(*keep, F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in _SKETCH_COLUMNS))
+    return df.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in _SKETCH_COLUMNS), *keep)
 
 
 def _few(edges: DataFrame, n: int) -> DataFrame:
@@ -195,31 +197,38 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         prints = stored(_united(docs))
     full = prints.where("n_shingles > 0")
     classes = stored(full.groupBy("sum_a", "sum_b", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    classed = stored(full.join(classes, ["sum_a", "sum_b", "n_shingles"]).select("doc_id", "rep"))
-    reps = full.join(classed.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
-    members = stored(_side(reps.select("*", F.explode("bands").alias("band")), "a", "band"))
-    leaders = members.groupBy("band").agg(F.min_by(F.struct(*(c for c in members.columns if c != "band")), "a").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    leaders = leaders.select("band", *(F.col(f"lead.{c}").alias(c[:-1] + "b" if c != "a" else "b") for c in members.columns if c != "band"))
+    classed = stored(full.join(classes, ["sum_a", "sum_b", "n_shingles"]).withColumn("bands", F.when(F.col("doc_id") == F.col("rep"), F.col("bands"))).drop("sum_a", "sum_b"))
+    reps = classed.where("doc_id = rep")
+    members = reps.select(F.posexplode("bands").alias("k", "band"), F.col("doc_id").alias("a"))
+    leaders = members.groupBy("band").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b")
     buckets = stored(members.join(leaders, "band"))
-    pairs = buckets.where("a > b").where(_may_link("a", "b")).select("a", "b", "n_a", "n_b").distinct()
-    edges = _confirmed(pairs, docs)
+    pairs = stored(buckets.where("a > b").select("a", "b").distinct())
+    likely = pairs.join(_side(reps, "a"), "a").join(_side(reps, "b"), "b").where(_may_link("a", "b")).select("a", "b", "n_a", "n_b")
+    edges = _confirmed(likely, docs)
     components = star_components(edges)
     own = components.select(F.col("node").alias("a"), F.col("component").alias("own_a"))
     of_leader = components.select(F.col("node").alias("b"), F.col("component").alias("own_b"))
-    known = buckets.join(own, "a", "left").join(of_leader, "b", "left").withColumn("own", F.coalesce("own_a", "a")).withColumn("odd", F.col("own") != F.coalesce("own_b", "b"))
-    known = known.drop("own_a", "own_b", "b", "n_b", *(f"{c}_b" for c in _SKETCH_COLUMNS))
-    open_bands = known.where("odd").select("band").distinct()
-    known = stored(known.join(open_bands, "band", "left_semi"))
-    renamed = known.select("band", *(F.col(c).alias(c[:-1] + "b" if c != "a" else "b") for c in known.columns if c == "a" or c.endswith("_a")), F.col("own").alias("own_b"), F.col("odd").alias("odd_b"))
-    # Of two odd members each pair comes once; an odd and another member meet once as well.
-    rest = known.where("odd").join(renamed, (known["band"] == renamed["band"]) & (F.col("own") != F.col("own_b")) & (~F.col("odd_b") | (F.col("a") > F.col("b"))) & _may_link("a", "b"))
+    known = buckets.join(own, "a", "left").join(of_leader, "b", "left").withColumn("own", F.coalesce("own_a", "a"))
+    known = stored(known.select("k", "band", "a", "b", "own", (F.col("own") != F.coalesce("own_b", "b")).alias("odd")))
+    # An odd member and its leader have met already; a bucket that has no third member is done with.
+    open_bands = known.groupBy("band").agg(F.count("*").alias("n"), F.max("odd").alias("any_odd")).where("n > 2 and any_odd").select("band")
+    short = F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands")
+    known = stored(known.join(open_bands, "band", "left_semi").join(_side(reps, "a", short), "a"))
+    others = known.select("band", *(F.col(c).alias(c[:-1] + "b" if c == "a" or c.endswith("_a") else c + "_2") for c in known.columns if c not in ("band", "k", "b")))
+    # Of two odd members each pair comes once, an odd and another member meet once as well; of all buckets that a pair
+    # shares only the first gives it.
+    once = F.col("own") != F.col("own_2")
+    once &= ~F.col("odd_2") | (F.col("a") > F.col("b"))
+    once &= _may_link("a", "b")
+    once &= ~F.exists(F.zip_with(F.slice("bands", 1, F.col("k")), F.slice("bands_2", 1, F.col("k")), lambda x, y: x == y), lambda same: same)
+    rest = known.where("odd").drop("b").join(others, "band").where(once)
     swap = F.col("a") < F.col("b")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     rest = rest.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b")).distinct()
-    found = _confirmed(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), docs)
+    found = _confirmed(rest.join(pairs, ["a", "b"], "left_anti"), docs)
     if found.limit(1).count():
         components = star_components(edges.unionByName(found))
-    linked = classed.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    linked = classed.select("doc_id", "rep").join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     out = prints.select("doc_id", "n_shingles").join(linked, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
