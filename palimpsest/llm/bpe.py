@@ -13,6 +13,8 @@ vocabulary's added tokens inside a text become that token, as the tokenizers lib
 
 from __future__ import annotations
 
+import contextlib
+import glob
 import hashlib
 import heapq
 import json
@@ -31,30 +33,31 @@ from ._common import Texts, chunks, documents_view, mixed, prefix_hashes, prepar
 LEXICON_SHARE = 2e-5
 LEXICON_WORDS = 1 << 16
 #: Text bytes of a piece; distinct words are handled once in each.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 #: Longer words are merged one by one with a heap.
 LONG_WORD = 256
 #: Words whose ids a task keeps at most.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 
 _U = np.uint64
 _NONE = np.iinfo(np.int64).max
 
 
 class HashMap:
-    """From 64-bit keys to row numbers by open addressing, for whole arrays of keys at once."""
+    """From unsigned keys to row numbers by open addressing, for whole arrays of keys at once; the largest key can't be held."""
 
     def __init__(self, keys: np.ndarray, slots: np.ndarray | None = None, table: np.ndarray | None = None):
         if table is not None:
-            self.table, self.slots = table, slots
+            self.table, self.slots, self.free = table, slots, np.iinfo(table.dtype).max
         else:
-            size = 1 << max(4, int(len(keys) * 4).bit_length())
-            self.table = np.full(size, np.iinfo(np.uint64).max, _U)
+            size = 1 << max(4, int(len(keys) * 2).bit_length())
+            self.free = np.iinfo(keys.dtype).max
+            self.table = np.full(size, self.free, keys.dtype)
             self.slots = np.zeros(size, np.int32)
             left = np.arange(len(keys))
             spot = self._home(keys, size)
             while len(left):
-                free = self.table[spot] == np.iinfo(np.uint64).max
+                free = self.table[spot] == self.free
                 self.slots[spot[free]] = left[free]  # of several that want a slot the last one written gets it
                 won = free & (self.slots[spot] == left)
                 self.table[spot[won]] = keys[left[won]]
@@ -63,21 +66,21 @@ class HashMap:
     @staticmethod
     def _home(keys: np.ndarray, size: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(65 - int(size).bit_length())).astype(np.int64)
+            return ((keys.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(65 - int(size).bit_length())).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Row numbers, -1 where a key is missing."""
         spot = self._home(keys, len(self.table))
         seen = self.table[spot]
         out = np.where(seen == keys, self.slots[spot], np.int32(-1))
-        left = np.flatnonzero((seen != keys) & (seen != np.iinfo(np.uint64).max))
+        left = np.flatnonzero((seen != keys) & (seen != self.free))
         while len(left):
             spot_left = (spot[left] + 1) & (len(self.table) - 1)
             spot[left] = spot_left
             seen = self.table[spot_left]
             same = seen == keys[left]
             out[left[same]] = self.slots[spot_left[same]]
-            left = left[~same & (seen != np.iinfo(np.uint64).max)]
+            left = left[~same & (seen != self.free)]
         return out
 
 
@@ -340,7 +343,7 @@ class Transducer:
                 to.append(number[x])
                 skip.append(passed)
                 passed += below[x]
-        held = HashMap(np.array(keys, _U))
+        held = HashMap(np.array(keys, np.uint32))
         return cls({"table": held.table, "slots": held.slots, "to": np.array(to, np.int32), "skip": np.array(skip, np.int32), "final": np.array([final[s] for s in sorted(below)], np.uint8), "ids": ids.astype(np.int32), "ids_at": ids_at.astype(np.int32), "longest": np.array([max(map(len, words), default=0)], np.int32)})
 
     def to_bytes(self) -> bytes:
@@ -356,13 +359,22 @@ class Transducer:
 
     @classmethod
     def mapped(cls, raw: bytes, name: str) -> Transducer:
-        """Puts the file into this executor's temp folder unless it is there, and maps it; the executor's workers share its pages."""
+        """Puts the file into this executor's temp folder unless it is there, and maps it; the executor's workers share its pages.
+
+        Files of earlier lexicons are unlinked; whoever still maps one keeps its pages.
+        """
         path = os.path.join(tempfile.gettempdir(), f"lexicon-{name}")
         if not os.path.exists(path):
+            for old in glob.glob(os.path.join(tempfile.gettempdir(), "lexicon-*")):
+                with contextlib.suppress(FileNotFoundError):
+                    os.unlink(old)
             with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
                 f.write(raw)
             os.replace(f.name, path)
-        view = np.memmap(path, np.uint8, "r")
+        try:
+            view = np.memmap(path, np.uint8, "r")
+        except FileNotFoundError:  # another lexicon's task has just unlinked it
+            view = np.frombuffer(raw, np.uint8)
         head = json.loads(view[:1024].tobytes())
         return cls({k: view[1024 + o : 1024 + o + n * np.dtype(t).itemsize].view(t) for k, (t, n, o) in head.items()})
 
@@ -380,7 +392,7 @@ class Transducer:
                 good = over & (final[state] == 1)
                 out[alive[good]] = place[good]
                 alive, state, place = alive[~over], state[~over], place[~over]
-            arc = self.arcs.get((state.astype(_U) << _U(8)) | data[at[alive] + step].astype(_U))
+            arc = self.arcs.get((state.astype(np.uint32) << np.uint32(8)) | data[at[alive] + step].astype(np.uint32))
             on = arc >= 0
             alive, arc = alive[on], arc[on]
             state, place = to[arc].astype(np.int64), place[on] + skip[arc]
