@@ -83,7 +83,7 @@ class Mix:
         spark = documents.sparkSession
         prepare(spark)
         self.documents = documents
-        self.rows = stored(self._sized(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size"))
+        self.rows = stored(self._sized(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")).select("doc_id", "source", "size"))
         summary = self.rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
         # UTF-8 bytes sort as code points do.
         summary.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
@@ -176,13 +176,15 @@ class Mix:
         uses = self.parts().join(self.slots().select("number", "block", "round"), ["number", "block"])
         uses = uses.groupBy("number", "doc_id", "size", "begin", "round").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("ranges"))
         # Of documents that agree in id, source and size the n-th by text has the n-th place in the stream.
-        uses = uses.groupBy("number", "doc_id", "size").agg(F.collect_list(F.struct("begin", "round", "ranges")).alias("uses"))
-        order = Window.partitionBy("number", "doc_id", "size").orderBy("text")
-        dealt = self._numbered(self._sized(self.documents))
-        begins = self.placed.groupBy("number", "doc_id", "size").agg(F.array_sort(F.collect_list("begin")).alias("begins"))
-        dealt = dealt.withColumn("copy", F.row_number().over(order)).join(begins.join(uses, ["number", "doc_id", "size"]), ["number", "doc_id", "size"])
+        key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
+        uses = uses.groupBy("number", key, "size").agg(F.collect_list(F.struct("begin", "round", "ranges")).alias("uses"))
+        begins = self.placed.groupBy("number", key, "size").agg(F.array_sort(F.collect_list("begin")).alias("begins"))
+        rows = self.documents.select(F.struct(*self.documents.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
+        dealt = self._numbered(self._sized(rows)).select("row", "number", key, "size")
+        order = Window.partitionBy("number", "key", "size").orderBy("row.text")
+        dealt = dealt.withColumn("copy", F.row_number().over(order)).join(begins.join(uses, ["number", "key", "size"]), ["number", "key", "size"])
         own = F.filter("uses", lambda u: u["begin"] == F.get("begins", F.col("copy") - 1))
-        each = dealt.withColumn("use", F.explode(own)).select(*self.documents.columns, F.col("use.ranges").alias("_ranges"))
+        each = dealt.withColumn("use", F.explode(own)).select("row.*", F.col("use.ranges").alias("_ranges"))
         columns = self.documents.columns
         kinds = dict(self.documents.dtypes)
         has_count = "n_chars" in columns

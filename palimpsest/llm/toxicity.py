@@ -8,8 +8,8 @@ are per coordinate, and L1 keeps the weights few: they are broadcast as two shor
 Weights are fitted on at most ``TRAIN_ROWS`` labelled documents (whole texts) outside the held-out rows, in one task that
 holds only those rows' features. Scoring takes whole texts of all documents and nothing but the text.
 
-Null and empty texts have no feature: their score is the bias's. Without usable labels every score is 0.5. Repeated
-rows each give a row; empty tables give none.
+Null and empty texts, and others without a word, have no feature: they score the sample's share of label 1. Without usable
+labels every score is 0.5. Repeated rows each give a row; empty tables give none.
 """
 
 from __future__ import annotations
@@ -66,8 +66,11 @@ def features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([h for _, h in kinds])[order] & _U(BUCKETS - 1)).astype(np.int32), at
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """From (coordinates, counts, label) to the coordinates with a weight, their weights, and the bias."""
+Model = tuple[np.ndarray, np.ndarray, float, float]
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -> Model:
+    """From (coordinates, counts, label) to the coordinates with a weight, their weights, the bias, and the share of label 1."""
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
 
     def weights(i):
@@ -85,10 +88,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) ->
             n[i] += g * g
     all_weights = weights(np.arange(BUCKETS + 1))
     used = np.flatnonzero(all_weights[:-1])
-    return used.astype(np.int32), all_weights[used].astype(np.float32), float(all_weights[-1])
+    return used.astype(np.int32), all_weights[used].astype(np.float32), float(all_weights[-1]), float(np.mean([label for *_, label in rows]))
 
 
-def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
+def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """The sparse weights: at most ``BUCKETS`` of them, and some thousands in practice."""
     prepare(documents.sparkSession)
 
@@ -98,35 +101,36 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tu
             where, at = features(Texts(piece.column("text")))
             for k, label in enumerate(piece.column("label").to_pylist()):
                 seen.append((*np.unique(where[at[k] : at[k + 1]], return_counts=True), label))
-        used, weights, bias = fit(seen) if seen else (np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(weights, bias).astype(np.float64))], ["feature", "weight"])
+        used, weights, bias, share = fit(seen) if seen else (np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0, 0.5)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, [-1, -2]).astype(np.int32)), pa.array(np.append(weights, [bias, share]).astype(np.float64))], ["feature", "weight"])
 
     found = fit_in_one_task(labelled_sample(documents, labels, "toxic", rows), run, "feature int, weight double").toPandas()
     bias = float(found.weight[found.feature == -1].sum())
+    share = float(found.weight[found.feature == -2].sum()) if len(found) else 0.5
     found = found[found.feature >= 0].sort_values("feature")
-    return found.feature.to_numpy(np.int32), found.weight.to_numpy(np.float32), bias
+    return found.feature.to_numpy(np.int32), found.weight.to_numpy(np.float32), bias, share
 
 
-def scored(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *keep: str) -> DataFrame:
+def scored(documents: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns ``keep`` of each document, and score: the probability that its text is toxic."""
     prepare(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def setup():
-        used, weights, bias = shared.value
+        used, weights, bias, share = shared.value
         table = np.zeros(BUCKETS, np.float32)
         table[used] = weights
-        return table, bias
+        return table, bias, share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bias = setup()
+        table, bias, share = setup()
         for piece in chunks(batches, "text"):
             where, at = features(Texts(piece.column("text")))
-            total = np.zeros(len(at) - 1)
+            score = np.full(len(at) - 1, share)
             full = np.flatnonzero(np.diff(at))
             if len(full):
-                total[full] = np.add.reduceat(table[where].astype(np.float64), at[:-1][full]) * SCALE / np.sqrt(np.diff(at)[full])
-            score = 1 / (1 + np.exp(-np.clip(total + bias, -35, 35)))
+                total = np.add.reduceat(table[where].astype(np.float64), at[:-1][full]) * SCALE / np.sqrt(np.diff(at)[full])
+                score[full] = 1 / (1 + np.exp(-np.clip(total + bias, -35, 35)))
             yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in keep), pa.array(score)], [*keep, "score"])
 
     kinds = dict(documents.dtypes)
