@@ -182,8 +182,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
 def _cells(vectors: DataFrame, queries: DataFrame, dim: int, blocks: int, asked: int, k: int, schema: str) -> DataFrame:
     """Each cell's winners: rows of one block of the index go with queries of one block."""
-    own = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
-    of = queries.withColumn("asked", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(asked))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # Both sides' keys must be of one type: a cogroup doesn't coerce them, and a long is dealt elsewhere than an int.
+    own = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
+    of = queries.withColumn("asked", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(asked)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []

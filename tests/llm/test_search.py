@@ -29,11 +29,15 @@ def found(spark, rows, **sizes):
 def test_exact(spark, monkeypatch, blocks):
     monkeypatch.setattr(B, "BLOCK_ROWS", blocks[0])
     monkeypatch.setattr(B, "BLOCK_QUERIES", blocks[1])
+    monkeypatch.setattr(B, "prepare", lambda s: (s.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false"), s.conf.set("spark.sql.shuffle.partitions", "13")))
     draw = np.random.default_rng(7)
     rows = [(int(i), [float(np.float32(c)) for c in draw.normal(size=6)], 0, 1, 1) for i in draw.permutation(90)]
     rows += [(200 + i, [0.5, -0.5, 0.25, 0.0, 1.0, -1.0], 0, 1, 1) for i in range(30)]  # one vector, thirty times
     rows += [(300, None, 0, 1, 1), (303, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0, 1, 1), (306, [float("nan")] * 6, 0, 1, 1), (309, [float("inf")] * 6, 0, 1, 1), (312, [], 0, 1, 1), (315, [2.0, 3.0], 0, 1, 1), (316, [2.0, 1.0], 0, 1, 1), (None, [1.0] * 6, 0, 1, 1), (3, [0.1] * 6, 0, 1, 1), (318, [0.0] * 6, 0, 1, 1)]
-    assert found(spark, rows) == brute(rows)
+    try:
+        assert found(spark, rows) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"), spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_few_and_none(spark):
