@@ -57,6 +57,10 @@ class DeadlockVictim(EngineError):
     pass
 
 
+class CommitAborted(EngineError):
+    """Recovery gave up the commit before it was published."""
+
+
 class CorruptLog(EngineError):
     """A published commit lacks files or can't be read."""
 

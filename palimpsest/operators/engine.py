@@ -278,7 +278,7 @@ class Engine:
         lost = self.log.pending()
         published = {folder for c in self.log.snapshot().commits for _, folder in c.files}
         for lsn in lost:
-            self.log.publish(Commit(lsn, "ABORT"))
+            self.log.give_up(lsn)
         for table in self.catalog.tables.values():
             for name in self.log.store.names(f"log/{table.log}"):
                 if int(name.split("-")[0]) in set(lost) and f"log/{table.log}/{name}" not in published:
