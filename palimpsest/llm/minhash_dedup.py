@@ -33,7 +33,7 @@ from ._common import Texts, documents_view, map_texts, mixed, prepare, read_tabl
 SHINGLE = 5
 BANDS, ROWS = 36, 6
 #: 64-bit words of a sketch. A linked pair's sketches agree in 0.925 of the bits; five deviations below that are let pass.
-SKETCH = 8
+SKETCH = 16
 MOST_DIFFERING = int(64 * SKETCH * 0.075 + 5 * (64 * SKETCH * 0.075 * 0.925) ** 0.5)
 HASHES = max(BANDS * ROWS, 64 * SKETCH)
 #: Members that share one copy of their leader's set when sets are compared.
@@ -176,7 +176,7 @@ def star_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def _confirmed(likely: DataFrame, docs: DataFrame) -> DataFrame:
     """Of the distinct pairs (a, b, n_a, n_b), those whose full sets are linked."""
     likely = stored(likely)
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = likely.select(F.col("a").alias("doc_id")).distinct().unionByName(likely.select(F.col("b").alias("doc_id")).distinct()).distinct()
     sets = map_texts(docs.join(wanted, "doc_id", "left_semi"), _sets, "doc_id long, set array<long>")
     sets = stored(sets.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("set")))
     # The side with more partners is b; its set goes to as many salts as its partners fill.
