@@ -19,6 +19,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op5_bitsliced": bitsliced.ORACLE,
-    "op9_html_extract": html_extract.query,
     "op10_chat": chat.ORACLE,
 }
