@@ -6,6 +6,7 @@ import __spark_entry__ as entry
 
 def test_every_oracle_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
 
 
 def test_entry_works_without_the_llm_folders(monkeypatch):
