@@ -2,17 +2,18 @@
 
 A document's set holds its distinct 5-word shingles (A-Z lower-cased; words are runs of other bytes than 20 and 09-0D).
 With fewer words the whole sequence is the one shingle; null, empty and blank texts have the empty set and no link.
-Two documents are linked if 100 * intersection >= 85 * union of their full sets.
+Two documents are linked if 100 * intersection >= percent * union of their full sets; ``PERCENT``, unless a caller asks for another.
 
-1. One pass over the texts gives each document its set size, a 128-bit sum over its set, ``BANDS * ROWS`` minima under
-   multiply-add hashes modulo 2**64, a hash of each band of minima, and a sketch: one bit of each of ``64 * SKETCH`` minima.
+1. One pass over the texts gives each document its set size, a 128-bit sum over its set, minima under multiply-add hashes
+   modulo 2**64, a hash of each band of ``ROWS`` minima, and a sketch: one bit of a mixed hash of each of ``64 * SKETCH``
+   minima. (A bit of the minimum itself won't do: the lowest one is the shingle's parity under every hash.)
    The bands take the first minima, the sketch takes more.
-   A pair at the threshold shares no band with a chance of (1 - 0.85**6)**36 < 5e-8.
+   Bands are as many as it takes for a pair at the threshold to share none with a chance below ``MISSED``: 36 for 85 %.
 2. Documents with equal sets form a class; only its smallest doc_id goes on. This, and the smallest member of each
    band bucket, are aggregates that combine before they shuffle, so no group meets in one task.
 3. Each bucket's members are paired with its leader. A pair is dropped if its set sizes rule out a link, or if its
-   sketches differ so much that a linked pair would need a five-sigma draw; the rest is confirmed or refused on the full
-   sets. Components follow by alternating large-star and small-star.
+   sketches differ so much that a pair at the threshold does so with a chance below ``MISSED``; the rest is confirmed or
+   refused on the full sets. Components follow by alternating large-star and small-star.
 4. Lastly, members outside the component of their bucket's leader are compared with all members in other components,
    under the same two conditions, inside the join. After that every pair that shares a bucket is linked, refused, or
    already in one component. No bucket is capped.
@@ -23,6 +24,8 @@ place in the result. Empty tables give no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,19 +34,19 @@ from pyspark.sql import functions as F
 from ._common import Texts, documents_view, map_texts, mixed, prepare, read_table, seeded, stored
 
 SHINGLE = 5
-BANDS, ROWS = 36, 6
-#: 64-bit words of a sketch. A linked pair's sketches agree in 0.925 of the bits; five deviations below that are let pass.
+PERCENT = 85
+#: Minima of a band.
+ROWS = 6
+#: 64-bit words of a sketch.
 SKETCH = 16
-MOST_DIFFERING = int(64 * SKETCH * 0.075 + 5 * (64 * SKETCH * 0.075 * 0.925) ** 0.5)
-HASHES = max(BANDS * ROWS, 64 * SKETCH)
+#: The chance that bands, and as much that sketches, miss a pair at the threshold.
+MISSED = 5e-8
 #: Members that share one copy of their leader's set when sets are compared.
 SALTED = 256
 #: Edges of one partition where edges are few and steps many.
 EDGES_A_TASK = 500_000
 
 _U = np.uint64
-_MULTIPLY = seeded(HASHES, 11) | _U(1)
-_ADD = seeded(HASHES, 13)
 _PLACE = seeded(max(SHINGLE, ROWS), 17) | _U(1)
 _SHORT = seeded(SHINGLE, 19)
 _SKETCH_COLUMNS = [f"sketch_{k}" for k in range(SKETCH)]
@@ -75,9 +78,24 @@ def shingles(texts: Texts, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(sets) if sets else words[:0]), at
 
 
-def minima(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The smallest value of each set under each hash; sets: ``values[at[i]:at[i + 1]]``, none empty."""
-    out = np.empty((len(at) - 1, HASHES), _U)
+def band_count(percent: int) -> int:
+    """The fewest bands that miss a pair at the threshold with a chance below ``MISSED``."""
+    return math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** ROWS))) if percent < 100 else 1
+
+
+def most_differing(percent: int) -> int:
+    """The fewest bits that sketches of a pair at the threshold exceed in difference with a chance below ``MISSED``: a binomial tail."""
+    n, p = 64 * SKETCH, (1 - percent / 100) / 2
+    above, k = 0.0, n
+    while k and p and (above := above + math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))) < MISSED:
+        k -= 1
+    return k if p else 0
+
+
+def minima(values: np.ndarray, at: np.ndarray, hashes: int) -> np.ndarray:
+    """The smallest value of each set under each of so many hashes; sets: ``values[at[i]:at[i + 1]]``, none empty."""
+    multiply, add = seeded(hashes, 11) | _U(1), seeded(hashes, 13)
+    out = np.empty((len(at) - 1, hashes), _U)
     step = 1 << 16
     begin = 0
     while begin < len(at) - 1:  # a block of sets that stays in cache
@@ -85,37 +103,45 @@ def minima(values: np.ndarray, at: np.ndarray) -> np.ndarray:
         block, where = values[at[begin] : at[end]], at[begin:end] - at[begin]
         scratch = np.empty_like(block)
         with np.errstate(over="ignore"):
-            for k in range(HASHES):
-                np.multiply(block, _MULTIPLY[k], out=scratch)
-                np.add(scratch, _ADD[k], out=scratch)
+            for k in range(hashes):
+                np.multiply(block, multiply[k], out=scratch)
+                np.add(scratch, add[k], out=scratch)
                 out[begin:end, k] = np.minimum.reduceat(scratch, where)
         begin = end
     return out
 
 
-def band_hashes(signature: np.ndarray) -> np.ndarray:
+def band_hashes(signature: np.ndarray, bands: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        rows = (signature[:, : BANDS * ROWS].reshape(len(signature), BANDS, ROWS) * _PLACE[:ROWS]).sum(axis=2, dtype=_U)
-        return mixed(rows + seeded(BANDS, 23))
+        rows = (signature[:, : bands * ROWS].reshape(len(signature), bands, ROWS) * _PLACE[:ROWS]).sum(axis=2, dtype=_U)
+        return mixed(rows + seeded(bands, 23))
+
+
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """``SKETCH`` words of each set: a bit of a mixed hash of each minimum, so that each hash draws anew whether a shingle has it set."""
+    out = np.empty((len(signature), SKETCH), np.int64)
+    for begin in range(0, len(signature), 256):  # a block that stays in cache
+        block = mixed(signature[begin : begin + 256, : 64 * SKETCH])
+        out[begin : begin + 256] = np.packbits((block & _U(1)).astype(np.uint8), axis=1).view(np.int64).reshape(-1, SKETCH)
+    return out
 
 
 def _list_column(values: np.ndarray, at: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _fingerprint(piece: pa.RecordBatch) -> pa.RecordBatch:
-    return _summed(piece.column("doc_id"), *shingles(Texts(piece.column("text"))))
+def _fingerprint(piece: pa.RecordBatch, bands: int) -> pa.RecordBatch:
+    return _summed(piece.column("doc_id"), *shingles(Texts(piece.column("text"))), bands)
 
 
-def _summed(doc_ids: pa.Array, values: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+def _summed(doc_ids: pa.Array, values: np.ndarray, at: np.ndarray, n_bands: int) -> pa.RecordBatch:
     n = np.diff(at)
     full = np.flatnonzero(n)
-    signature = minima(values, np.append(at[:-1][full], at[-1]))
-    bits = np.packbits((signature[:, : 64 * SKETCH] & _U(1)).astype(np.uint8), axis=1).view(np.int64).reshape(-1, SKETCH)
-    bands, spot = band_hashes(signature), np.zeros(len(n) + 1, np.int64)
-    spot[1:] = np.cumsum(np.where(n > 0, BANDS, 0))
+    signature = minima(values, np.append(at[:-1][full], at[-1]), max(n_bands * ROWS, 64 * SKETCH))
+    bands, spot = band_hashes(signature, n_bands), np.zeros(len(n) + 1, np.int64)
+    spot[1:] = np.cumsum(np.where(n > 0, n_bands, 0))
     signs = np.zeros((len(n), SKETCH), np.int64)
-    signs[full] = bits
+    signs[full] = sketches(signature)
     sums = [np.zeros(len(n), _U) for _ in range(2)]
     with np.errstate(over="ignore"):
         for s, v in zip(sums, (values, mixed(values ^ _SHORT[0])), strict=True):
@@ -129,11 +155,11 @@ def _sets(piece: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([piece.column("doc_id"), _list_column(values, at)], ["doc_id", "set"])
 
 
-def _may_link(a: str, b: str):
+def _may_link(a: str, b: str, percent: int):
     """Whether set sizes and sketches of two sides, columns with the suffixes a and b, allow a link."""
-    size = F.least(f"n_{a}", f"n_{b}") * 100 >= F.greatest(f"n_{a}", f"n_{b}") * 85
+    size = F.least(f"n_{a}", f"n_{b}") * 100 >= F.greatest(f"n_{a}", f"n_{b}") * percent
     differing = sum((F.bit_count(F.col(f"{c}_{a}").bitwiseXOR(F.col(f"{c}_{b}"))) for c in _SKETCH_COLUMNS[1:]), F.bit_count(F.col(f"{_SKETCH_COLUMNS[0]}_{a}").bitwiseXOR(F.col(f"{_SKETCH_COLUMNS[0]}_{b}"))))
-    return size & (differing <= MOST_DIFFERING)
+    return size & (differing <= most_differing(percent))
 
 
 def _side(df: DataFrame, x: str, *keep) -> DataFrame:
@@ -173,7 +199,7 @@ def star_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return _few(roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct()), n)
 
 
-def _confirmed(likely: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(likely: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of the distinct pairs (a, b, n_a, n_b), those whose full sets are linked."""
     likely = stored(likely)
     wanted = likely.select(F.col("a").alias("doc_id")).distinct().unionByName(likely.select(F.col("b").alias("doc_id")).distinct()).distinct()
@@ -185,16 +211,17 @@ def _confirmed(likely: DataFrame, docs: DataFrame) -> DataFrame:
     left = left.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
     right = salts.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b").select("b", "set_b", F.explode(F.sequence(F.lit(0), "salts")).alias("salt"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return stored(left.join(right, ["b", "salt"]).withColumn("shared", shared).where("100L * shared >= 85L * (n_a + n_b - shared)").select("a", "b"))
+    return stored(left.join(right, ["b", "salt"]).withColumn("shared", shared).where(f"100L * shared >= {percent}L * (n_a + n_b - shared)").select("a", "b"))
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: see the module's text."""
+def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, of links at ``percent`` or more: see the module's text."""
     prepare(documents.sparkSession)
     docs = documents_view(documents).where("doc_id is not null")
-    prints = stored(map_texts(docs, _fingerprint, _PRINTS))
+    bands = band_count(percent)
+    prints = stored(map_texts(docs, lambda piece: _fingerprint(piece, bands), _PRINTS))
     if prints.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        prints = stored(_united(docs))
+        prints = stored(_united(docs, bands))
     full = prints.where("n_shingles > 0")
     classes = stored(full.groupBy("sum_a", "sum_b", "n_shingles").agg(F.min("doc_id").alias("rep")))
     classed = stored(full.join(classes, ["sum_a", "sum_b", "n_shingles"]).withColumn("bands", F.when(F.col("doc_id") == F.col("rep"), F.col("bands"))).drop("sum_a", "sum_b"))
@@ -203,8 +230,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     leaders = members.groupBy("band").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b")
     buckets = stored(members.join(leaders, "band"))
     pairs = stored(buckets.where("a > b").select("a", "b").distinct())
-    likely = pairs.join(_side(reps, "a"), "a").join(_side(reps, "b"), "b").where(_may_link("a", "b")).select("a", "b", "n_a", "n_b")
-    edges = _confirmed(likely, docs)
+    likely = pairs.join(_side(reps, "a"), "a").join(_side(reps, "b"), "b").where(_may_link("a", "b", percent)).select("a", "b", "n_a", "n_b")
+    edges = _confirmed(likely, docs, percent)
     components = star_components(edges)
     own = components.select(F.col("node").alias("a"), F.col("component").alias("own_a"))
     of_leader = components.select(F.col("node").alias("b"), F.col("component").alias("own_b"))
@@ -219,13 +246,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     # shares only the first gives it.
     once = F.col("own") != F.col("own_2")
     once &= ~F.col("odd_2") | (F.col("a") > F.col("b"))
-    once &= _may_link("a", "b")
+    once &= _may_link("a", "b", percent)
     once &= ~F.exists(F.zip_with(F.slice("bands", 1, F.col("k")), F.slice("bands_2", 1, F.col("k")), lambda x, y: x == y), lambda same: same)
     rest = known.where("odd").drop("b").join(others, "band").where(once)
     swap = F.col("a") < F.col("b")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     rest = rest.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b")).distinct()
-    found = _confirmed(rest.join(pairs, ["a", "b"], "left_anti"), docs)
+    found = _confirmed(rest.join(pairs, ["a", "b"], "left_anti"), docs, percent)
     if found.limit(1).count():
         components = star_components(edges.unionByName(found))
     linked = classed.select("doc_id", "rep").join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
@@ -234,7 +261,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
-def _united(docs: DataFrame) -> DataFrame:
+def _united(docs: DataFrame, bands: int) -> DataFrame:
     """Fingerprints where doc_ids repeat: of the union of the sets of each id's rows."""
     sets = map_texts(docs, _sets, "doc_id long, set array<long>").groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("set")))).alias("set"))
 
@@ -243,7 +270,7 @@ def _united(docs: DataFrame) -> DataFrame:
             lists = [np.unique(np.asarray(x, np.int64).view(_U)) for x in batch.column("set").to_pylist()]
             at = np.zeros(len(lists) + 1, np.int64)
             np.cumsum([len(x) for x in lists], out=at[1:])
-            yield _summed(batch.column("doc_id"), np.concatenate(lists), at)
+            yield _summed(batch.column("doc_id"), np.concatenate(lists), at, bands)
 
     return sets.mapInArrow(run, _PRINTS)
 

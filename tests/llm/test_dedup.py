@@ -93,3 +93,22 @@ def test_components(spark, edges):
                 root[a] = root[b] = m
                 changed = True
     assert out == {k: v for k, v in root.items() if any(k in e and e[0] != e[1] for e in edges)}
+
+
+def test_links_of_small_sets(spark):
+    draw, rows = random.Random(21), []
+    for k in range(900):  # a text and the same with a word more, of 6 to 25 shingles
+        words = prose(draw, 10 + k % 3 if k % 2 else draw.randint(10, 29))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, "more"]))]
+    assert found(table(spark, rows)) == brute_by_shingle(rows)
+
+
+def brute_by_shingle(rows, percent=85):
+    """The pairs (2k, 2k + 1) are all that share a shingle."""
+    out = {}
+    for k in range(0, len(rows), 2):
+        (a, s), (b, t) = rows[k : k + 2]
+        s, t = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (s.split(), t.split()))
+        linked = 100 * len(s & t) >= percent * len(s | t)
+        out |= {a: (len(s), a, True), b: (len(t), a if linked else b, not linked)}
+    return out
