@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm import bpe, minhash_dedup, mixing, secrets, toxicity
 from palimpsest.llm._common import read_table, stored
 
+#: Stages on word shingles link at this share; the 85 % of ``op2_minhash_dedup`` bind that query only.
+NEAR_PERCENT = 80
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject; it is fitted on labelled rows of docs outside the held-out ones."""
@@ -21,8 +24,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id; of rows that repeat a doc_id one, by text."""
-    kept = minhash_dedup.near_duplicates(docs).where("kept").select("doc_id")
+    """Of each group of near-duplicates (``NEAR_PERCENT`` or more of their shingles shared) the document with the smallest doc_id; of rows that repeat a doc_id one, by text."""
+    kept = minhash_dedup.near_duplicates(docs, NEAR_PERCENT).where("kept").select("doc_id")
     out = docs.join(kept, "doc_id", "left_semi")
     # Only where ids repeat are rows compared: aggregates of ids alone tell.
     repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")

@@ -54,3 +54,15 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert all(set(r.text.split()) <= set(masked[r.doc_id].text.split()) for r in made["mixing"])
     assert len(made["bpe"]) == len(made["mixing"]) and all(r.round_trip and r.n_tokens == len(r.ids) for r in made["bpe"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(made["bpe"])
+
+
+def test_near_duplicates_link_at_80_percent(spark):
+    draw = random.Random(6)
+    docs = []
+    for k in range(60):  # the last words changed: 80 of 100 shingles shared and more, or less
+        words = [f"w{draw.randrange(9999)}" for _ in range(94)]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[: 94 - k % 20], *(f"x{k}y{i}" for i in range(k % 20))]))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
+    # 90 shingles each, 90 - d shared.
+    assert kept == {i for i, _ in docs if not i % 2 or 100 * (90 - i // 2 % 20) < 80 * (90 + i // 2 % 20)}
