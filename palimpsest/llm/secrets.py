@@ -3,9 +3,10 @@
 ``scan`` gives all spans of each whole text, in code points with the end exclusive:
 
 * assign, access, hex: leftmost non-overlapping matches of ``ASSIGN``, ``ACCESS`` and ``HEX``, without those too short;
-* random: runs of ``TOKEN`` bytes of at least ``LEAST`` that no base span touches, in which the average log-likelihood
-  ratio per character of a first-order Markov model of random strings to one of identifiers exceeds ``MARGIN``, and that
-  hold a digit next to letters or a letter case that changes more than once.
+* random: runs of ``TOKEN`` bytes of at least ``LEAST``, base spans cut out, in which the average log-likelihood ratio per
+  character of a first-order Markov model of random strings to one of identifiers exceeds ``MARGIN``, and that hold a
+  digit next to letters or a letter case that changes more than once. Of a run that isn't such as a whole, the stretches
+  between two ``_JOINS`` that are, the one with the largest sum above the margin first, then those to its left and right.
 
 Both models are trained from labelled samples (string, 1 for random and 0 for ordinary). ``default_samples`` gives such:
 seeded random strings over the usual alphabets, and identifiers made from words of a bounded sample of the corpus.
@@ -39,6 +40,9 @@ SAMPLE_DOCUMENTS, SAMPLE_STRINGS = 200, 2_000
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
+#: What joins a secret to the text beside it: paths, queries, names.
+_JOINS = np.zeros(256, bool)
+_JOINS[list(b"/.=_-")] = True
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 #: What may stand right before an assignment's value, or hint at its name; only texts with such bytes are matched.
@@ -119,15 +123,46 @@ def find_spans(texts: Texts, ratio: np.ndarray) -> list[list[tuple[int, int, int
                 out[k].append((m.start(), 1, m.end()))
     for s, e in zip(*runs(_HEX[data], at, LEAST_HEX), strict=True):
         out[of(s)].append((int(s), 2, int(e)))
-    for s, e in zip(*runs(_TOKEN[data], at, LEAST), strict=True):
-        k, token = of(s), data[s:e]
-        if ratio[token[:-1], token[1:]].mean() > MARGIN and _irregular(token) and not any(s < b and a < e for a, _, b in out[k]):
-            out[k].append((int(s), 3, int(e)))
+    free = _TOKEN[data]
+    for spans in out:
+        for a, _, b in spans:
+            free[a:b] = False
+    for s, e in zip(*runs(free, at, LEAST), strict=True):
+        out[of(s)] += [(int(s) + a, 3, int(s) + b) for a, b in stretches(data[s:e], ratio)]
     for spans in out:
         spans.sort()
     return out
 
 
+def stretches(token: np.ndarray, ratio: np.ndarray) -> list[tuple[int, int]]:
+    """Starts and ends of the parts of a run that are random: the whole, or stretches between joins."""
+    steps = ratio[token[:-1], token[1:]]
+    if steps.mean() > MARGIN and _irregular(token):
+        return [(0, len(token))]
+    joins = np.flatnonzero(_JOINS[token])
+    starts, ends = np.r_[0, joins + 1], np.r_[joins, len(token)]
+    starts, ends = starts[starts < ends], ends[starts < ends]
+    above = np.r_[0, np.cumsum(steps - np.float64(MARGIN))]
+    out, todo = [], [(0, len(starts))]
+    while todo:
+        i, j = todo.pop()
+        # For each end, how many starts are far enough before it, and the one among them with the least sum before it.
+        fits = np.searchsorted(starts[i:j], ends[i:j] - LEAST, "right")
+        if i >= j or not fits[-1]:
+            continue
+        low = np.minimum.accumulate(above[starts[i:j]])
+        gains = np.where(fits > 0, above[ends[i:j] - 1] - low[np.maximum(fits, 1) - 1], -np.inf)
+        last = int(gains.argmax())
+        if gains[last] <= 0:
+            continue
+        first = int(above[starts[i : i + fits[last]]].argmin())
+        a, b = int(starts[i + first]), int(ends[i + last])
+        if _irregular(token[a:b]):
+            out.append((a, b))
+        todo += [(i, i + first), (i + last + 1, j)]
+    return sorted(out)
+
+
 def _places(raw: bytes, word: bytes) -> Iterator[int]:
     i = raw.find(word)
     while i >= 0:

@@ -60,3 +60,15 @@ def test_empty_table_and_default_samples(spark):
     samples = S.default_samples(empty)
     assert len(samples) == 2 * S.SAMPLE_STRINGS and {label for _, label in samples} == {0, 1}
     assert scanner(spark).scan(empty, "doc_id").count() == 0
+
+
+def test_secrets_joined_to_text(spark):
+    draw = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    before = ["values/index/string/columns/", "other.thing.table.number.value=", "other-thing-table-number-value-", "string_value_table_"]
+    rows = [(i, f"{before[i % 4]}{''.join(draw.choices(letters, k=32))}", "", "", 0) for i in range(100)]
+    out = scanner(spark).scan(spark.createDataFrame(rows, SCHEMA), "doc_id").collect()
+    assert sum([tuple(s) for s in r.spans] == [("random", len(before[r.doc_id % 4]), len(before[r.doc_id % 4]) + 32)] for r in out) >= 90
+    two = f"{before[0]}{'Zq7'.join(['xK9vB2mQ'] * 3)}/{'value/index/string/column/' * 6}{'Wp4'.join(['Jd8tR5hN'] * 3)}"
+    found = scanner(spark).scan(spark.createDataFrame([(1, two, "", "", 0)], SCHEMA), "doc_id").first().spans
+    assert [two[s.start : s.end] for s in found if s.kind == "random"] == ["Zq7".join(["xK9vB2mQ"] * 3), "Wp4".join(["Jd8tR5hN"] * 3)]
