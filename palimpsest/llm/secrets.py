@@ -9,7 +9,7 @@
   between two ``_JOINS`` that are, the one with the largest sum above the margin first, then those to its left and right.
 
 Both models are trained from labelled samples (string, 1 for random and 0 for ordinary). ``default_samples`` gives such:
-seeded random strings over the usual alphabets, and identifiers made from words of a bounded sample of the corpus.
+seeded random strings over the usual alphabets, and identifiers made from the most frequent words of the whole corpus.
 
 Null and empty texts have no span. Repeated rows each give a row. Empty tables give no rows.
 """
@@ -35,8 +35,8 @@ KINDS = ("assign", "access", "hex", "random")
 
 LEAST = 20
 MARGIN = 0.4
-#: Documents and words in the default sample of identifiers.
-SAMPLE_DOCUMENTS, SAMPLE_STRINGS = 200, 2_000
+#: Strings of each label in the default samples, and most words that the identifiers are made from.
+SAMPLE_STRINGS = 2_000
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
@@ -97,10 +97,9 @@ def identifiers(words: list[str], n: int, seed: int = 2) -> list[str]:
 
 
 def default_samples(documents: DataFrame) -> list[tuple[str, int]]:
-    """Labelled strings: at most ``SAMPLE_STRINGS`` of each label. Their words are of the ``SAMPLE_DOCUMENTS`` documents with the smallest hashes of doc_id."""
-    texts = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(documents.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS)), "doc_id")
+    """Labelled strings: at most ``SAMPLE_STRINGS`` of each label. Their words are the most frequent of all documents."""
     words = F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{2,15})"), F.lit(1)))
-    common = texts.select(words.alias("word")).select(F.lower("word").alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(SAMPLE_STRINGS)
+    common = documents.select(words.alias("word")).select(F.lower("word").alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(SAMPLE_STRINGS)
     return [(s, 0) for s in identifiers(sorted(r.word for r in common.collect()), SAMPLE_STRINGS)] + [(s, 1) for s in random_strings(SAMPLE_STRINGS)]
 
 

@@ -72,3 +72,10 @@ def test_secrets_joined_to_text(spark):
     two = f"{before[0]}{'Zq7'.join(['xK9vB2mQ'] * 3)}/{'value/index/string/column/' * 6}{'Wp4'.join(['Jd8tR5hN'] * 3)}"
     found = scanner(spark).scan(spark.createDataFrame([(1, two, "", "", 0)], SCHEMA), "doc_id").first().spans
     assert [two[s.start : s.end] for s in found if s.kind == "random"] == ["Zq7".join(["xK9vB2mQ"] * 3), "Wp4".join(["Jd8tR5hN"] * 3)]
+
+
+def test_default_samples_count_all_documents(spark):
+    rows = [(i, f"rare{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}", "", "", 0) for i in range(1000)]
+    one = {s for s, label in S.default_samples(spark.createDataFrame(rows, SCHEMA)) if not label}
+    seen = {w for s in one for w in re.findall("rare[a-z]{3}", s.lower())}
+    assert len(seen) > 900
