@@ -1,10 +1,12 @@
-"""Tables and their indexes. The catalog is a small JSON file beside the log, read at open."""
+"""Tables and their indexes. The catalog is kept as versions of a small JSON file beside the log."""
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .errors import IndexNotFound, LogDirectoryRequired, PrimaryKeyNotDefined, TableAlreadyExists, TableNotFound, TwoPrimaryKeys
@@ -47,7 +49,11 @@ class Table:
     def schema(self) -> T.StructType:
         """A row of the table's log."""
         fields = [T.StructField("_lsn", T.LongType(), False), T.StructField("_seq", T.LongType(), False), T.StructField("_tx_id", T.LongType()), T.StructField("_type", T.StringType(), False)]
-        return T.StructType([*fields, *(T.StructField(i.column, i.type.spark) for i in self.indexes), T.StructField("_doc", T.StringType())])
+        return T.StructType([*fields, *(T.StructField(i.column, i.type.spark) for i in self.indexes), T.StructField("_doc", T.StringType()), T.StructField("_sum", T.LongType())])
+
+    def checksum(self) -> Column:
+        """What a log row's ``_sum`` must be, from its other columns."""
+        return F.xxhash64(*(F.coalesce(F.col(f.name).cast(f.dataType).cast("string"), F.lit("\0")) for f in self.schema().fields if f.name != "_sum"))
 
 
 @dataclass
@@ -84,8 +90,11 @@ class Catalog:
     def list_indexes(self, table: str) -> list[Index]:
         return list(self.table(table).indexes)
 
+    def to_dict(self) -> dict:
+        return {t.name: {"log": t.log, "encrypted": t.encrypted, "indexes": [[i.name, i.type.value, i.primary, i.unique] for i in t.indexes]} for t in self.tables.values()}
+
     def to_json(self) -> str:
-        return json.dumps({t.name: {"log": t.log, "encrypted": t.encrypted, "indexes": [[i.name, i.type.value, i.primary, i.unique] for i in t.indexes]} for t in self.tables.values()}, indent=1)
+        return json.dumps(self.to_dict(), indent=1)
 
     @classmethod
     def from_json(cls, text: str, encrypt: bool = False) -> Catalog:

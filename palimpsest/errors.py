@@ -71,3 +71,11 @@ class BackupError(EngineError):
 
 class DecryptionError(EngineError):
     """A wrapped key doesn't open with this master key."""
+
+
+class UnsupportedStore(EngineError):
+    """A root's file system can't give a commit's number to one writer alone."""
+
+
+class EngineClosed(EngineError):
+    """The engine has been closed."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import json
 import secrets
 
 from pyspark.sql import Column, SparkSession
@@ -59,6 +58,13 @@ class KeyStore:
                     raise DecryptionError(f"the key of {table} doesn't open with this master key") from e
         return self._plain[table]
 
+    def merge(self, wrapped: dict[str, str]) -> None:
+        """Takes the keys that another driver has added."""
+        for table, key in wrapped.items():
+            if self.wrapped.get(table) != key:
+                self.wrapped[table] = key
+                self._plain.pop(table, None)
+
     def rotate(self, master: bytes) -> None:
         keys = {table: self.key(table) for table in self.wrapped}
         self._master = master
@@ -70,6 +76,3 @@ class KeyStore:
 
     def decrypted(self, text: Column, table: str, aad: Column) -> Column:
         return F.when(text.isNotNull(), decrypt(text, F.lit(self.key(table)), aad))
-
-    def to_json(self) -> str:
-        return json.dumps(self.wrapped, indent=1)

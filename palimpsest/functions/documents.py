@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +47,47 @@ def key_of(doc: Column, index: Index) -> Column:
     return F.when(field_type(doc, index.name).rlike(_FITTING[index.type]), value)
 
 
+MISSING = object()
+
+
+def fields_of(doc: str | None) -> dict | None:
+    """The same reading of one document at the driver: its fields, None if it is opaque. As in VARIANT, names may not repeat."""
+
+    def once(pairs):
+        out = dict(pairs)
+        if len(out) < len(pairs):
+            raise ValueError("a name repeats")
+        return out
+
+    def refuse(name):
+        raise ValueError(name)
+
+    try:
+        value = json.loads(doc or "", object_pairs_hook=once, parse_constant=refuse)
+    except ValueError:
+        return None
+    return value if isinstance(value, dict) else None
+
+
+def key_in(fields: dict, index: Index, zone: str) -> object:
+    """``key_of`` at the driver: the field's value if it fits the index, None if it doesn't, ``MISSING`` if there is none."""
+    value = fields.get(index.name, MISSING)
+    if value is MISSING:
+        return MISSING
+    whole = isinstance(value, int) and not isinstance(value, bool)
+    small = whole and -(1 << 63) <= value < 1 << 63
+    if index.type is DataType.DATE:
+        try:
+            at = dt.datetime.fromisoformat(value) if isinstance(value, str) else None
+        except ValueError:
+            return None
+        return at.astimezone(ZoneInfo(zone)).replace(tzinfo=None) if at is not None and at.tzinfo else at
+    if index.type is DataType.FLOAT:
+        return float(value) if isinstance(value, float) or (whole and not small) else None
+    fits = {DataType.INT: small, DataType.VARCHAR: isinstance(value, str), DataType.BOOL: isinstance(value, bool)}
+    return value if fits[index.type] else None
+
+
 def key_struct(value: Column, kind: DataType) -> Column:
     """A key for exchange: a struct of five fields, all null but the one of its type; dates as nanoseconds."""
     fields = {"i": DataType.INT, "s": DataType.VARCHAR, "b": DataType.BOOL, "f": DataType.FLOAT, "d": DataType.DATE}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import IndexNotFound, InvalidKeyType
 from ..types import DataType
 
 _OPERATORS = {"=": lambda c, a, b: c == a, "!=": lambda c, a, b: c != a, ">": lambda c, a, b: c > a, ">=": lambda c, a, b: c >= a, "<": lambda c, a, b: c < a, "<=": lambda c, a, b: c <= a, "between": lambda c, a, b: (c >= a) & (c <= b)}
@@ -93,3 +95,82 @@ def either(*conditions: tuple[Column, Condition]) -> Column:
     for key, condition in conditions:
         out = out | condition.column(key)
     return out
+
+
+@dataclass(frozen=True)
+class Filter:
+    """A condition over several keys: comparisons, IN, LIKE and IS NULL of one key each (``index``), put together by &, | and ~.
+
+    Nulls are as in SQL: a comparison with a null key is unknown, and rows whose condition is unknown are left out.
+    """
+
+    kind: str
+    index: str | None = None
+    given: tuple = ()
+    parts: tuple[Filter, ...] = ()
+
+    def __and__(self, other: Filter) -> Filter:
+        return Filter("and", parts=(self, other))
+
+    def __or__(self, other: Filter) -> Filter:
+        return Filter("or", parts=(self, other))
+
+    def __invert__(self) -> Filter:
+        return Filter("not", parts=(self,))
+
+    def names(self) -> set[str]:
+        return ({self.index} if self.index else set()).union(*(p.names() for p in self.parts))
+
+    def check(self, kinds: dict[str, DataType]) -> None:
+        """Fails unless every literal has its key's type, and every key is known."""
+        if self.index is not None:
+            if self.index not in kinds:
+                raise IndexNotFound(self.index)
+            kind = kinds[self.index]
+            if self.kind == "compare":
+                self.given[0].check(kind)
+            elif self.kind == "in":
+                for value in self.given:
+                    kind.check(value)
+            elif self.kind == "like" and kind is not DataType.VARCHAR:
+                raise InvalidKeyType(f"{self.index} is no text")
+        for part in self.parts:
+            part.check(kinds)
+
+    def column(self, of: Callable[[str], Column]) -> Column:
+        """As a Catalyst expression; of: gives a key's column."""
+        if self.kind == "and":
+            return self.parts[0].column(of) & self.parts[1].column(of)
+        if self.kind == "or":
+            return self.parts[0].column(of) | self.parts[1].column(of)
+        if self.kind == "not":
+            return ~self.parts[0].column(of)
+        key = of(self.index)
+        if self.kind == "compare":
+            return self.given[0].column(key)
+        if self.kind == "in":
+            return key.isin(*map(_literal, self.given)) if self.given else F.lit(False)
+        return key.like(self.given[0]) if self.kind == "like" else key.isNull()
+
+    def only(self, names: set[str]) -> Filter | None:
+        """The conjuncts that read no other keys than these; None if there are none."""
+        if self.kind == "and":
+            kept = [x for p in self.parts if (x := p.only(names)) is not None]
+            return kept[0] & kept[1] if len(kept) == 2 else kept[0] if kept else None
+        return self if self.names() <= names else None
+
+
+def where(index: str, condition: Condition) -> Filter:
+    return Filter("compare", index, (condition,))
+
+
+def one_of(index: str, *values) -> Filter:
+    return Filter("in", index, values)
+
+
+def like(index: str, pattern: str) -> Filter:
+    return Filter("like", index, (pattern,))
+
+
+def is_null(index: str) -> Filter:
+    return Filter("null", index)

@@ -7,9 +7,11 @@ import threading
 import time
 from collections import deque
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import DeadlockVictim, LockWaitTimeout
+from ..plans.stages import drop_stored, stored
 
 Resource = tuple[str, str, object]
 
@@ -100,17 +102,50 @@ class LockManager:
                 self.release(tx, r)
 
 
-DEADLOCKS = """
-WITH RECURSIVE walk(start, tx, depth) AS (
-  SELECT waiter, holder, 1 FROM waits_for
-  UNION ALL
-  SELECT walk.start, waits_for.holder, walk.depth + 1 FROM walk JOIN waits_for ON waits_for.waiter = walk.tx
-  WHERE walk.tx <> walk.start AND walk.depth < 64)
-SELECT start AS member, max(depth) AS cycle_length FROM walk WHERE tx = start GROUP BY start
-"""
-
-
-def deadlocked(spark: SparkSession, waits_for: DataFrame) -> DataFrame:
-    """member, cycle_length of each transaction in a cycle of ``waits_for`` (waiter, holder; each waiter waits for one)."""
-    waits_for.createOrReplaceTempView("waits_for")
-    return spark.sql(DEADLOCKS)
+def _cycles(waits_for: DataFrame) -> DataFrame:
+    """member, least: each transaction in a cycle, and the smallest of its cycle.
+
+    Each waiter has one holder, so steps can double: after k joins every waiter knows whom it reaches by 2**k steps. Walks
+    that end drop out; once no more do, all are endless. Transactions that are reached by so many steps dwindle to those in
+    cycles; once their number stands still, only these are left. Minima spread by doubling as well. Rounds are the logarithm
+    of the longest chain or cycle, and each is a join by key of tables that are written between rounds.
+    """
+    held: list[DataFrame] = []
+
+    def step(df: DataFrame) -> DataFrame:
+        held.append(stored(df))
+        if len(held) > 2:
+            drop_stored(held.pop(0))
+        return held[-1]
+
+    reach = step(waits_for.select(F.col("waiter").alias("node"), F.col("holder").alias("to")).where("node is not null and to is not null").dropDuplicates(["node"]))
+    ahead = lambda df: df.select(F.col("node").alias("to"), *(F.col(c).alias(f"{c}_2") for c in df.columns if c != "node"))
+    n, ends = reach.count(), -1
+    while True:
+        reach = step(reach.join(ahead(reach), "to").select("node", F.col("to_2").alias("to")))
+        now = reach.agg(F.count("*").alias("n"), F.count_distinct("to").alias("ends")).first()
+        if (now["n"], now["ends"]) == (n, ends):
+            break
+        n, ends = now["n"], now["ends"]
+    members = stored(reach.select(F.col("to").alias("node")).distinct())
+    own = waits_for.select(F.col("waiter").alias("node"), F.col("holder").alias("to")).dropDuplicates(["node"]).join(members, "node", "left_semi")
+    spread = step(own.withColumn("least", F.least("node", "to")))
+    while True:
+        further = spread.join(ahead(spread), "to")
+        spread, before = step(further.select("node", F.col("to_2").alias("to"), F.least("least", "least_2").alias("least"), (F.col("least_2") < F.col("least")).alias("fell"))), spread
+        if not spread.where("fell").limit(1).count():
+            drop_stored(members, before)
+            return spread.select(F.col("node").alias("member"), "least")
+        spread = spread.drop("fell")
+
+
+def deadlocked(waits_for: DataFrame) -> DataFrame:
+    """member, cycle_length of each transaction in a cycle of ``waits_for`` (waiter, holder; each waiter waits for one). Cycles may have any length."""
+    cycles = _cycles(waits_for)
+    lengths = cycles.groupBy("least").agg(F.count("*").alias("cycle_length"))
+    return cycles.join(lengths, "least").select("member", "cycle_length")
+
+
+def victims(waits_for: DataFrame) -> DataFrame:
+    """victim, cycle_length of each cycle: the transaction with the largest id gives way."""
+    return _cycles(waits_for).groupBy("least").agg(F.max("member").alias("victim"), F.count("*").alias("cycle_length")).drop("least")

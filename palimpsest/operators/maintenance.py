@@ -1,4 +1,4 @@
-"""Vacuum, checkpoints, and archiving of log segments."""
+"""Vacuum, compaction, checkpoints, and archiving and truncation of the log."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import versions as V
-from ..sources.changelog import Commit
+from ..sources.changelog import Commit, Snapshot
 from .engine import Engine
 
 ORDER = ["_lsn", "_seq"]
@@ -15,57 +15,91 @@ ORDER = ["_lsn", "_seq"]
 def vacuum(engine: Engine, table: str) -> int:
     """Rewrites the table's log without versions that no open or later snapshot sees; gives their number.
 
-    The last delete of each key stays, so that inserting it again is still refused. Files that the rewrite replaces go once
-    no reader is open; a reader that is keeps its list of commits and so its files.
+    The last delete of each key stays, so that inserting it again is still refused. The rewrite names the commits that it
+    replaces: one that another driver publishes meanwhile isn't among them and stays. Files that it replaces go once no reader
+    of any driver is open; a reader that is keeps its list of commits and so its files.
     """
-    t = engine.catalog.table(table)
+    t = engine.table_of(table)
     with engine.write_lock:
         snapshot = engine.log.snapshot()
-        bound = engine.min_active_lsn()
+        bound = min(engine.min_active_lsn(), snapshot.lsn)
         log = engine.log.rows(t, snapshot)
         gone = V.reclaimable(log, [t.primary.column], ORDER, bound).count()
         if gone:
-            kept = V.survivors(log, [t.primary.column], ORDER, bound)
-            # Rows of a base are laid out by key, so that reads by key skip row groups.
-            engine.log.append({t: kept.repartitionByRange(t.primary.column).sortWithinPartitions(t.primary.column)}, kind="BASE", upto=snapshot.lsn)
-            _drop_replaced(engine, table)
+            _rewrite(engine, table, snapshot, V.survivors(log, [t.primary.column], ORDER, bound))
         return gone
 
 
-def _drop_replaced(engine: Engine, table: str) -> None:
-    if engine.active:
-        return
+def compact(engine: Engine, table: str) -> int:
+    """Puts all versions of a table into one folder, so that reads open few files; gives the number of folders that there were."""
+    t = engine.table_of(table)
+    with engine.write_lock:
+        snapshot = engine.log.snapshot()
+        folders = len([c for c in snapshot.commits if c.folder(table)])
+        if folders > 1:
+            _rewrite(engine, table, snapshot, engine.log.rows(t, snapshot))
+        return folders
+
+
+def _rewrite(engine: Engine, table: str, snapshot: Snapshot, rows: DataFrame) -> None:
+    t = engine.table_of(table)
+    # Rows of a base are laid out by key, so that reads by key skip row groups.
+    engine.log.append({t: rows.repartitionByRange(t.primary.column).sortWithinPartitions(t.primary.column)}, kind="BASE", named=snapshot.named())
+    drop_replaced(engine, table)
+
+
+def drop_replaced(engine: Engine, table: str) -> list[str]:
+    """Deletes folders that the table's last base replaces, if no reader is open; gives them."""
     commits = engine.log.snapshot().commits
-    bases = [c for c in commits if c.kind == "BASE" and table in dict(c.files)]
-    for c in commits:
-        if bases and table in dict(c.files) and c.lsn < bases[-1].lsn and (c.kind == "BASE" or c.lsn <= bases[-1].upto):
-            engine.log.store.delete(dict(c.files)[table])
+    base = max((c for c in commits if c.kind == "BASE" and c.folder(table)), key=lambda c: c.lsn, default=None)
+    if base is None or engine.log.leased():
+        return []
+    gone = [c.folder(table) for c in commits if c.folder(table) and c.kind in ("DATA", "BASE") and c.lsn != base.lsn and base.replaces(c.lsn)]
+    gone = [f for f in gone if engine.log.store.exists(f)]
+    for folder in gone:
+        engine.log.store.delete(folder)
+    return gone
 
 
 def checkpoint(engine: Engine) -> int:
-    """Writes every table's rows as they are now, and a CHECKPOINT commit; gives the lsn that the checkpoint holds."""
-    with engine.write_lock:
-        snapshot = engine.log.snapshot()
-        lsn, files = snapshot.lsn, []
-        for name in engine.catalog.list_tables():
-            t = engine.catalog.table(name)
-            rows = V.latest(engine.log.rows(t, snapshot), [t.primary.column], ORDER)
-            folder = f"checkpoints/{lsn:020d}/{name}"
-            if not engine.log.store.exists(folder):
-                rows.write.parquet(engine.log.store.url(folder))
-            files.append((name, folder))
-        engine.log.publish(Commit(engine.log.claim(), "CHECKPOINT", None, tuple(files), lsn))
-        return lsn
+    """Writes every table's rows as they are now, and a CHECKPOINT commit that names the commits in them; gives the largest number among these. Writers needn't stop."""
+    snapshot = engine.log.snapshot()
+    lsn, files = engine.log.claim(), []
+    for name in engine.catalog.list_tables():
+        t = engine.table_of(name)
+        folder = f"checkpoints/{lsn:020d}/{name}"
+        V.latest(engine.log.rows(t, snapshot), [t.primary.column], ORDER).write.parquet(engine.log.store.url(folder))
+        files.append((name, folder))
+    upto, folded = snapshot.named()
+    engine.log.publish(Commit(lsn, "CHECKPOINT", None, tuple(files), upto, folded))
+    return snapshot.lsn
+
+
+def _newest(commits) -> Commit | None:
+    return max((c for c in commits if c.kind == "CHECKPOINT"), key=lambda c: c.lsn, default=None)
 
 
 def last_checkpoint(engine: Engine) -> int:
-    return max((c.upto for c in engine.log.snapshot().commits if c.kind == "CHECKPOINT"), default=0)
+    """The largest number that the last checkpoint holds, 0 without one."""
+    last = _newest(engine.log.snapshot().commits)
+    return 0 if last is None else max([last.upto, *last.folded])
 
 
 def checkpointed(engine: Engine, table: str) -> DataFrame:
-    """The table as the last checkpoint holds it."""
-    last = [c for c in engine.log.snapshot().commits if c.kind == "CHECKPOINT"][-1]
-    return engine.spark.read.parquet(engine.log.store.url(dict(last.files)[table]))
+    """The table as the last checkpoint holds it: log rows, without deleted ones."""
+    last = _newest(engine.log.snapshot().commits)
+    return engine.spark.read.schema(engine.table_of(table).schema()).parquet(engine.log.store.url(last.folder(table)))
+
+
+def replayed(engine: Engine, table: str) -> DataFrame:
+    """The table's rows now, from the last checkpoint and only the commits that it doesn't name: what a restart has to read."""
+    t = engine.table_of(table)
+    snapshot = engine.log.snapshot()
+    last = _newest(snapshot.commits)
+    if last is None or last.folder(table) is None:
+        return V.latest(engine.log.rows(t, snapshot), [t.primary.column], ORDER)
+    later = engine.log.read(t, [c.folder(table) for c in snapshot.commits if c.kind == "DATA" and c.folder(table) and not last.replaces(c.lsn)])
+    return V.latest(checkpointed(engine, table).unionByName(later), [t.primary.column], ORDER)
 
 
 def segments(engine: Engine, segment_lsns: int) -> DataFrame:
@@ -75,31 +109,26 @@ def segments(engine: Engine, segment_lsns: int) -> DataFrame:
 
 
 def archive(engine: Engine, keep: int = 0) -> list[str]:
-    """Moves data commits that a checkpoint covers to ``archive``, but for the newest ``keep``; reads go on from the rows rewritten as of the checkpoint."""
-    upto = last_checkpoint(engine)
+    """Moves data commits that the last checkpoint names to ``archive``, but for the newest ``keep``; reads go on from a base of all versions. Nothing happens while a reader is open."""
     with engine.write_lock:
         snapshot = engine.log.snapshot()
-        if engine.active or not upto:
+        last = _newest(snapshot.commits)
+        if last is None or engine.log.leased():
             return []
-        moved = []
-        covered = [c for c in snapshot.commits if c.kind in ("DATA", "BASE") and c.lsn <= upto and any(engine.log.store.exists(f) for _, f in c.files)]
-        for c in covered[: len(covered) - keep] if keep else covered:
-            moved += [folder for _, folder in c.files]
-        if not moved:
-            return []
-        for name in engine.catalog.list_tables():
-            t = engine.catalog.table(name)
-            rows = engine.log.rows(t, snapshot)
-            if rows.first() is not None:
-                newest = rows.groupBy(t.primary.column).agg(F.max_by(F.struct(*(c for c in rows.columns if c != t.primary.column)), F.struct(*ORDER)).alias("r")).select(t.primary.column, "r.*")
-                engine.log.append({t: newest}, kind="BASE", upto=snapshot.lsn)
+        there = {f"log/{t.log}/{n}" for t in engine.catalog.tables.values() for n in engine.log.store.names(f"log/{t.log}")}
+        covered = [c for c in snapshot.commits if c.kind in ("DATA", "BASE") and last.replaces(c.lsn) and any(f in there for _, f in c.files)]
+        covered = covered[: len(covered) - keep] if keep else covered
+        moved = [f for c in covered for _, f in c.files if f in there]
+        for name in sorted({name for c in covered for name, _ in c.files}):
+            t = engine.table_of(name)
+            engine.log.append({t: engine.log.rows(t, snapshot)}, kind="BASE", named=snapshot.named())
         for folder in moved:
             engine.log.store.move(folder, f"archive/{folder}")
         return moved
 
 
 def restore_archived(engine: Engine) -> list[str]:
-    """Moves archived commits back; never over files that are there."""
+    """Copies archived commits back; never over files that are there."""
     back = []
     for table in engine.log.store.names("archive/log"):
         for name in engine.log.store.names(f"archive/log/{table}"):
@@ -108,3 +137,9 @@ def restore_archived(engine: Engine) -> list[str]:
                 engine.log.store.copy(f"archive/{folder}", folder)
                 back.append(folder)
     return back
+
+
+def truncate(engine: Engine) -> int:
+    """Shortens the lists of commits and claims to one summary and what came after it; gives the last number in the summary."""
+    with engine.write_lock:
+        return engine.log.truncate()

@@ -17,7 +17,7 @@ from .catalog import Index
 from .functions import documents as D
 from .functions import predicates as P
 from .functions.crypto import decrypt, encrypt
-from .operators.locks import DEADLOCKS, deadlocked
+from .operators.locks import deadlocked, victims
 from .operators.relational import grouped, joined, page
 from .plans import recovery as R
 from .plans import versions as V
@@ -43,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 _SCANS = {
     "int": ("orders", "o_orderkey", 5000, 9000, ["o_orderkey", "o_custkey", "o_totalprice"]),
-    "float": ("orders", "o_totalprice", 50_000.0, 150_000.0, ["o_orderkey", "o_totalprice"]),
+    "float": ("lineitem", "l_quantity", 18.0, 40.0, ["l_orderkey", "l_linenumber", "l_quantity"]),
     "varchar": ("orders", "o_orderpriority", "2-HIGH", "4-NOT SPECIFIED", ["o_orderkey", "o_orderpriority"]),
     "date": ("orders", "o_orderdate", dt.datetime(1996, 3, 1), dt.datetime(1997, 12, 31), ["o_orderkey", "o_orderdate"]),
     "bool": ("orders", "o_finished", False, True, ["o_orderkey", "o_finished"]),
@@ -57,6 +57,8 @@ def _sql(value: object) -> str:
 
 def _scan(kind: str, operator: str):
     name, key, low, high, columns = _SCANS[kind]
+    if kind == "bool" and operator in ("<", "="):
+        low = True  # nothing is below false
     condition = P.Condition(operator, low, high if operator == "between" else None).check(DataType.of(low))
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,20 +373,35 @@ def _(spark, d):
     return listed.join(there, "doc_id", "full_outer").where(~F.col("sha256").eqNullSafe(F.col("found"))).select("doc_id")
 
 
+# Customers wait in runs of five, whose last waits for the first; of every other run the fourth waits for nobody.
 _WAITS = "SELECT DISTINCT c_custkey AS waiter, CASE WHEN c_custkey % 5 = 4 THEN c_custkey - 4 WHEN c_custkey % 5 < 3 OR c_custkey % 10 = 3 THEN c_custkey + 1 ELSE -1 END AS holder FROM customer"
+#: Transitive closure: who waits, over others, for itself.
+_CYCLES = f"""WITH RECURSIVE w AS ({_WAITS}), reach(a, b) AS (SELECT waiter, holder FROM w UNION SELECT reach.a, w.holder FROM reach JOIN w ON w.waiter = reach.b),
+member AS (SELECT a FROM reach WHERE a = b), peers AS (SELECT x.a, y.a AS peer FROM member x JOIN reach r ON r.a = x.a JOIN member y ON y.a = r.b)"""
 
 
-@query("lock_deadlock_cycles", DEADLOCKS.replace("WITH RECURSIVE", f"WITH RECURSIVE waits_for AS ({_WAITS}),"))
-def _(spark, d):
+def waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     holder = F.when(key % 5 == 4, key - 4).when((key % 5 < 3) | (key % 10 == 3), key + 1).otherwise(-1)
-    return deadlocked(spark, table(spark, d, "customer").select(key.alias("waiter"), holder.cast("bigint").alias("holder")).distinct())
+    return table(spark, sf_dir, "customer").select(key.alias("waiter"), holder.cast("bigint").alias("holder")).distinct()
+
+
+@query("lock_deadlock_cycles", f"{_CYCLES} SELECT a AS member, count(*) AS cycle_length FROM peers GROUP BY a")
+def _(spark, d):
+    return deadlocked(waits(spark, d))
+
+
+@query("lock_victims", f"{_CYCLES} SELECT DISTINCT max(peer) AS victim, count(*) AS cycle_length FROM peers GROUP BY a")
+def _(spark, d):
+    return victims(waits(spark, d))
 
 
-@query("lock_victims", f"WITH w AS ({_WAITS}), m AS (SELECT waiter - waiter % 5 AS cycle, max(waiter) AS victim, count(*) FILTER (holder <> -1) AS waiting FROM w GROUP BY 1) SELECT victim FROM m WHERE waiting = 5")
+@query("lock_one_long_cycle", "SELECT max(c_custkey) AS victim, count(*) AS cycle_length FROM customer")
 def _(spark, d):
-    found = QUERIES["lock_deadlock_cycles"](spark, d)
-    return found.groupBy((F.col("member") - F.col("member") % 5).alias("cycle")).agg(F.max("member").alias("victim")).select("victim")
+    """All customers in one cycle: each waits for the next, the last for the first."""
+    keys = table(spark, d, "customer").select(F.col("c_custkey").alias("waiter"))
+    ends = keys.agg(F.min("waiter").alias("least"), F.max("waiter").alias("most")).first()
+    return victims(keys.withColumn("holder", F.when(F.col("waiter") == ends["most"], ends["least"]).otherwise(F.col("waiter") + 1)))
 
 
 @query("json_extract_key", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -446,9 +463,11 @@ def _(spark, d):
     return joined(nation, region, F.col("n_regionkey") == F.col("r_regionkey"), strategy="loop").select("n_name", "r_name")
 
 
-@query("rel_semi_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("rel_semi_anti", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000.0) AS has_large FROM customer")
 def _(spark, d):
-    return joined(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    customers = table(spark, d, "customer").select("c_custkey")
+    large = table(spark, d, "orders").where(P.greater_than(400_000.0).column(F.col("o_totalprice"))).select(F.col("o_custkey").alias("c_custkey"))
+    return joined(customers, large, "c_custkey", "left_semi").withColumn("has_large", F.lit(True)).union(joined(customers, large, "c_custkey", "left_anti").withColumn("has_large", F.lit(False)))
 
 
 @query("rel_agg_segments", "SELECT c_mktsegment, count(*) AS n, CAST(sum(c_nationkey) AS BIGINT) AS total, min(c_acctbal) AS least, max(c_acctbal) AS most, count(DISTINCT c_nationkey) AS nations, round(avg(c_nationkey), 6) AS mean FROM customer GROUP BY c_mktsegment")

@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -21,7 +22,7 @@ def duck():
 
 def plain(df):
     def one(v):
-        return None if v is None or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return None if v is None or v is pd.NA or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
     df = df[sorted(df.columns)].astype(object)
     return sorted(repr([one(v) for v in row]) for row in df.itertuples(index=False, name=None))
