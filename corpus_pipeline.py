@@ -49,10 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids of each row, and whether decoding gives the text again."""
-    tokenizer = bpe.Tokenizer(spark, bpe.default_vocabulary(), docs)
-    encoded = tokenizer.encode(docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256)), "doc_id", "source", "digest")
-    decoded = tokenizer.decode(encoded, "doc_id", "source", "digest")
-    return decoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2(F.col("text").cast("binary"), 256) == F.col("digest")).alias("round_trip"))
+    return bpe.Tokenizer(spark, bpe.default_vocabulary(), docs).encode_checked(docs, "doc_id", "source")
 
 
 STAGES = [

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,10 +12,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.stages import drop_stored, shared_dir, stored
+
+__all__ = ["drop_stored", "shared_dir", "stored"]
+
 #: Rows in one Arrow batch between the JVM and Python. Texts can be long, so it is far below Spark's default.
 ARROW_ROWS = 256
 #: Text bytes that one numpy pass works on, unless a single document is longer.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _U = np.uint64
 #: Word separators: space and the ASCII controls 09 to 0D.
@@ -38,31 +42,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors see. Where that is unset (tests), one is made and set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or (lambda d: d.get() if d.isDefined() else None)(spark.sparkContext._jsc.sc().getCheckpointDir())
-    if not top:
-        top = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(top)
-        top = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{top.rstrip('/')}/t-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: later steps don't recompute it, and lost executors don't lose it."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(*frames: DataFrame) -> None:
-    """Deletes tables made by ``stored`` that no later step reads."""
-    for df in frames:
-        spark = df.sparkSession
-        for name in df.inputFiles()[:1]:
-            jvm = spark.sparkContext._jvm
-            folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def release() -> None:
+    """Gives memory back to the system at a task's end: Python workers outlive their tasks, and idle ones add up."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library is another one
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _table(base: int, n: int, key: str) -> np.ndarray:
@@ -157,25 +142,29 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
     def flush() -> pa.RecordBatch:
         return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64) + 16)
-        begin = 0
-        while begin < batch.num_rows:
-            before = int(sizes[begin - 1]) if begin else 0
-            end = int(np.searchsorted(sizes, before + most - held_bytes, "right"))
-            if end <= begin:
-                if held:
-                    yield flush()
-                    held, held_bytes = [], 0
-                    continue
-                end = begin + 1
-            held.append(batch.slice(begin, end - begin))
-            held_bytes += int(sizes[end - 1]) - before
-            begin = end
-    if held:
-        yield flush()
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64) + 16)
+            begin = 0
+            while begin < batch.num_rows:
+                before = int(sizes[begin - 1]) if begin else 0
+                end = int(np.searchsorted(sizes, before + most - held_bytes, "right"))
+                if end <= begin:
+                    if held:
+                        yield flush()
+                        held, held_bytes = [], 0
+                        continue
+                    end = begin + 1
+                held.append(batch.slice(begin, end - begin))
+                held_bytes += int(sizes[end - 1]) - before
+                begin = end
+        if held:
+            yield flush()
+    finally:
+        held.clear()
+        release()
 
 
 def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", setup: Callable[[], object] | None = None) -> DataFrame:

@@ -25,19 +25,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Texts, chunks, documents_view, mixed, prefix_hashes, prepare, read_table, span_hashes
+from ._common import Texts, chunks, documents_view, mixed, prefix_hashes, prepare, read_table, release, span_hashes
 
 LEXICON_SHARE = 2e-5
 LEXICON_WORDS = 1 << 16
 #: Text bytes of a piece; distinct words are handled once in each.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 #: Longer words are merged one by one with a heap.
 LONG_WORD = 256
-#: Words whose ids a task keeps at most.
-REMEMBERED = 1 << 18
+#: Words whose ids a task keeps at most, and ids of all of them.
+REMEMBERED, REMEMBERED_IDS = 1 << 17, 1 << 20
 
 _U = np.uint64
 _NONE = np.iinfo(np.int64).max
@@ -50,18 +51,32 @@ class HashMap:
         if table is not None:
             self.table, self.slots, self.free = table, slots, np.iinfo(table.dtype).max
         else:
-            size = 1 << max(4, int(len(keys) * 2).bit_length())
             self.free = np.iinfo(keys.dtype).max
-            self.table = np.full(size, self.free, keys.dtype)
-            self.slots = np.zeros(size, np.int32)
-            left = np.arange(len(keys))
-            spot = self._home(keys, size)
-            while len(left):
-                free = self.table[spot] == self.free
-                self.slots[spot[free]] = left[free]  # of several that want a slot the last one written gets it
-                won = free & (self.slots[spot] == left)
-                self.table[spot[won]] = keys[left[won]]
-                left, spot = left[~won], (spot[~won] + 1) & (size - 1)
+            self._room(len(keys), keys.dtype)
+            self._place(keys, np.arange(len(keys)))
+
+    def _room(self, keys: int, kind) -> None:
+        size = 1 << max(4, int(keys * 2).bit_length())
+        self.table, self.slots, self.used = np.full(size, self.free, kind), np.zeros(size, np.int32), 0
+
+    def _place(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        self.used += len(keys)
+        spot = self._home(keys, len(self.table))
+        while len(keys):
+            free = self.table[spot] == self.free
+            self.slots[spot[free]] = rows[free]  # of several that want a slot the last one written gets it
+            won = free & (self.slots[spot] == rows)
+            self.table[spot[won]] = keys[won]
+            keys, rows, spot = keys[~won], rows[~won], (spot[~won] + 1) & (len(self.table) - 1)
+
+    def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        """Puts in distinct keys that aren't there yet; the table doubles when it is half full."""
+        if 2 * (self.used + len(keys)) > len(self.table):
+            held = np.flatnonzero(self.table != self.free)
+            old, old_rows = self.table[held], self.slots[held]
+            self._room(2 * (len(old) + len(keys)), old.dtype)
+            self._place(old, old_rows)
+        self._place(keys, rows)
 
     @staticmethod
     def _home(keys: np.ndarray, size: int) -> np.ndarray:
@@ -358,17 +373,18 @@ class Transducer:
         return b"".join([text, *body])
 
     @classmethod
-    def mapped(cls, raw: bytes, name: str) -> Transducer:
-        """Puts the file into this executor's temp folder unless it is there, and maps it; the executor's workers share its pages.
+    def mapped(cls, raw: bytes, name: str, folder: str | None = None) -> Transducer:
+        """Puts the file into a folder of this machine's (a temporary one by default) unless it is there, and maps it; workers with the same folder share its pages.
 
-        Files of earlier lexicons are unlinked; whoever still maps one keeps its pages.
+        Files of earlier lexicons are unlinked; whoever still maps one keeps its pages. A lost executor's successor writes its own from the broadcast.
         """
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{name}")
+        top = folder or tempfile.gettempdir()
+        path = os.path.join(top, f"lexicon-{name}")
         if not os.path.exists(path):
-            for old in glob.glob(os.path.join(tempfile.gettempdir(), "lexicon-*")):
+            for old in glob.glob(os.path.join(top, "lexicon-*")):
                 with contextlib.suppress(FileNotFoundError):
                     os.unlink(old)
-            with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
+            with tempfile.NamedTemporaryFile(dir=top, delete=False) as f:
                 f.write(raw)
             os.replace(f.name, path)
         try:
@@ -426,15 +442,24 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary) -> Transducer:
 
 
 class Encoder:
-    """Encodes pieces of text in one task; remembers at most ``REMEMBERED`` words' ids from earlier pieces."""
+    """Encodes pieces of text in one task; keeps the ids of words of earlier pieces, up to ``REMEMBERED`` words and ``REMEMBERED_IDS`` ids."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer):
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.known = np.zeros(0, _U), HashMap(np.zeros(0, _U))
-        self.pool, self.pool_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.known, self.words = HashMap(np.zeros(0, _U)), 0
+        self.pool, self.pool_at = np.zeros(1 << 12, np.int32), np.zeros(1 << 10, np.int64)
+
+    def _remember(self, hashes: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        end = int(self.pool_at[self.words])
+        self.pool = _grown(self.pool, end + len(ids))
+        self.pool_at = _grown(self.pool_at, self.words + len(at))
+        self.pool[end : end + len(ids)] = ids
+        self.pool_at[self.words + 1 : self.words + len(at)] = end + at[1:]
+        self.known.add(hashes, self.words + np.arange(len(hashes)))
+        self.words += len(hashes)
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and where each text's begin."""
@@ -442,15 +467,11 @@ class Encoder:
         row = self.known.get(split.hashes).astype(np.int64)
         new = np.flatnonzero(row < 0)
         if len(new):
-            if len(self.hashes) + len(new) > REMEMBERED and len(self.hashes):
+            if self.words and (self.words + len(new) > REMEMBERED or self.pool_at[self.words] > REMEMBERED_IDS):
                 self._forget()
                 row, new = np.full(len(row), -1), np.arange(len(row))
-            ids, at = self._word_ids(*split.distinct(new))
-            row[new] = len(self.hashes) + np.arange(len(new))
-            self.hashes = np.concatenate([self.hashes, split.hashes[new]])
-            self.known = HashMap(self.hashes)
-            self.pool_at = np.concatenate([self.pool_at, self.pool_at[-1] + at[1:]])
-            self.pool = np.concatenate([self.pool, ids])
+            row[new] = self.words + np.arange(len(new))
+            self._remember(split.hashes[new], *self._word_ids(*split.distinct(new)))
         word = row[split.which]
         out, word_at = gathered(self.pool, self.pool_at[word], self.pool_at[word + 1])
         return out, word_at[split.first]
@@ -481,6 +502,53 @@ class Encoder:
         return out, out_at
 
 
+def _grown(array: np.ndarray, size: int) -> np.ndarray:
+    """The array with room for ``size`` values: itself, or a copy of twice the room."""
+    if size <= len(array):
+        return array
+    out = np.zeros(max(size, 2 * len(array)), array.dtype)
+    out[: len(array)] = array
+    return out
+
+
+class Strings:
+    """Many byte strings in one array, gathered by their numbers."""
+
+    def __init__(self, strings: list[bytes]):
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+        self.at = np.zeros(len(strings) + 1, np.int64)
+        np.cumsum([len(x) for x in strings], out=self.at[1:])
+
+    def joined(self, numbers: np.ndarray, first: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The strings of all numbers, one after another, and where those of each group begin; ``first``: where the groups begin among the numbers."""
+        data, at = gathered(self.data, self.at[numbers], self.at[numbers + 1])
+        return memoryview(data), at[first]
+
+
+class Decoder:
+    """From ids to bytes, and to the ids written as decimals, for whole pieces at once."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.tokens = Strings(vocabulary.tokens)
+        self.decimals = Strings([b"%d," % i for i in range(len(vocabulary.tokens))])
+
+    def texts(self, ids: np.ndarray, first: np.ndarray) -> Iterator[bytes]:
+        """The UTF-8 of each text; bytes that aren't UTF-8 become U+FFFD."""
+        data, at = self.tokens.joined(ids, first)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            raw = bytes(data[a:b])
+            try:
+                raw.decode("utf-8")
+            except UnicodeDecodeError:
+                raw = raw.decode("utf-8", "replace").encode()
+            yield raw
+
+    def id_digests(self, ids: np.ndarray, first: np.ndarray) -> list[str]:
+        """SHA-256 of each text's ids, as decimals joined by commas."""
+        data, at = self.decimals.joined(ids, first)
+        return [hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 class Tokenizer:
     """Encodes and decodes columns with one vocabulary and one corpus's lexicon."""
 
@@ -490,46 +558,71 @@ class Tokenizer:
         raw = build_lexicon(lexicon_from, self.vocabulary).to_bytes()
         self._shared = spark.sparkContext.broadcast((self.vocabulary, raw, hashlib.sha256(raw).hexdigest()[:24]))
 
-    def encode(self, df: DataFrame, *keep: str) -> DataFrame:
-        """The columns ``keep`` and ids, array<int>, of the column text."""
+    def _coded(self, df: DataFrame, keep: tuple[str, ...], columns: dict[str, str], work) -> DataFrame:
+        """The columns ``keep`` and what ``work`` makes of each piece, its ids, where each text's begin, and a decoder: one pass through Python."""
         shared = self._shared
 
-        def setup():
-            vocabulary, raw, name = shared.value
-            return vocabulary, Transducer.mapped(raw, name)
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encoder = Encoder(*setup())
+            vocabulary, raw, name = shared.value
+            encoder, decoder = Encoder(vocabulary, Transducer.mapped(raw, name, SparkFiles.getRootDirectory())), None  # the folder goes with the executor
             for piece in chunks(batches, "text", PIECE_BYTES):
+                decoder = decoder or Decoder(vocabulary)
                 ids, at = encoder.encode(Texts(piece.column("text")))
-                yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in keep), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], [*keep, "ids"])
+                yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in keep), *work(piece, ids, at, decoder)], [*keep, *columns])
 
         kinds = dict(df.dtypes)
-        return df.select(*keep, "text").mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "ids array<int>"]))
+        return df.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), *(f"{k} {t}" for k, t in columns.items())]))
+
+    def encode(self, df: DataFrame, *keep: str) -> DataFrame:
+        """The columns ``keep`` and ids, array<int>, of the column text."""
+        return self._coded(df, keep, {"ids": "array<int>"}, lambda piece, ids, at, decoder: [_lists(ids, at)])
+
+    def encode_checked(self, df: DataFrame, *keep: str) -> DataFrame:
+        """The columns ``keep``, n_tokens, ids, and round_trip: whether decoding the ids gives the text again (null as empty)."""
+
+        def work(piece, ids, at, decoder):
+            texts = Texts(piece.column("text"))
+            raw = memoryview(texts.data)
+            same = [made == raw[texts.at[i] : texts.at[i + 1]] for i, made in enumerate(decoder.texts(ids, at))]
+            return [pa.array(np.diff(at)), _lists(ids, at), pa.array(same, pa.bool_())]
+
+        return self._coded(df, keep, {"n_tokens": "long", "ids": "array<int>", "round_trip": "boolean"}, work)
+
+    def digests(self, df: DataFrame, *keep: str) -> DataFrame:
+        """The columns ``keep``, n_tokens, ids_sha256 (of decimals joined by commas) and decoded_sha256 (of the text that the ids give)."""
+
+        def work(piece, ids, at, decoder):
+            decoded = [hashlib.sha256(raw).hexdigest() for raw in decoder.texts(ids, at)]
+            return [pa.array(np.diff(at)), pa.array(decoder.id_digests(ids, at), pa.string()), pa.array(decoded, pa.string())]
+
+        return self._coded(df, keep, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, work)
 
     def decode(self, df: DataFrame, *keep: str) -> DataFrame:
         """The columns ``keep``, ids, and text; bytes that aren't UTF-8 become U+FFFD."""
         shared = self._shared
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            token = shared.value[0].tokens.__getitem__
+            decoder = None
             for batch in batches:
+                decoder = decoder or Decoder(shared.value[0])
                 column = batch.column("ids")
-                flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-                texts = [b"".join(map(token, flat[at[i] : at[i + 1]].tolist())).decode("utf-8", "replace") for i in range(len(column))]
+                at = column.offsets.to_numpy().astype(np.int64)
+                texts = [x.decode("utf-8") for x in decoder.texts(column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], at - at[0])]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), column, pa.array(texts, pa.string())], [*keep, "ids", "text"])
+            release()
 
         kinds = dict(df.dtypes)
         return df.select(*keep, "ids").mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "ids array<int>, text string"]))
 
 
+def _lists(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
     docs = documents_view(docs)
-    tokenizer = Tokenizer(docs.sparkSession, path, docs)
-    decoded = tokenizer.decode(tokenizer.encode(docs, "doc_id"), "doc_id")
-    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    return Tokenizer(docs.sparkSession, path, docs).digests(docs, "doc_id")
 
 
 def default_vocabulary() -> str:
