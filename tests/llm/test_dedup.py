@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from palimpsest.llm import minhash_dedup as M
 
@@ -112,3 +113,51 @@ def brute_by_shingle(rows, percent=85):
         linked = 100 * len(s & t) >= percent * len(s | t)
         out |= {a: (len(s), a, True), b: (len(t), a if linked else b, not linked)}
     return out
+
+
+def test_every_link_of_short_near_copies(spark):
+    """2,000 near copies of 10 to 20 words: a word more at an end, so that 6 of 7 shingles and up are shared."""
+    draw, rows = random.Random(33), []
+    for k in range(2000):
+        words = prose(draw, draw.randint(9, 20))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(["more", *words] if k % 2 else [*words, "more"]))]
+    assert found(table(spark, rows)) == brute_by_shingle(rows)
+
+
+def test_sets_around_the_largest_map_and_at_the_threshold(spark):
+    """Pairs of both sorts of signature, of a small and a large set, and with just as many changed words as a link allows, and one more."""
+    draw, rows = random.Random(34), []
+    for k in range(120):
+        n = draw.choice([60, 250, 480, M.SMALL - 3, M.SMALL + 6, 700, 1500])
+        words = prose(draw, n)
+        least = -(-170 * (n - 4) // 185)  # 100 * shared >= 85 * (2 * size - shared)
+        changed = n - 4 - least + draw.choice([0, 1])
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[: n - changed], *(f"y{k}z{i}" for i in range(changed))]))]
+    want = brute_by_shingle(rows)
+    assert found(table(spark, rows)) == want and {kept for i, (_, _, kept) in want.items() if i % 2} == {True, False}
+
+
+def test_maps_never_refuse_a_link(spark):
+    """Signatures refuse no pair that the full sets link, whatever the sizes; most pairs well below the threshold go."""
+    draw, sets = random.Random(35), []
+    for k in range(300):
+        n = draw.randint(1, M.SMALL)
+        one = draw.sample(range(10**6), n)
+        lacks, more = draw.randint(0, n // 5), draw.randint(0, n // 5)
+        sets.append((one, one[lacks:] + [10**6 + k * 1000 + i for i in range(more)]))
+    signed = lambda xs: M.maps(np.concatenate([np.array(x, np.uint64) for x in xs]), np.array([len(x) for x in xs]))
+    a, b = signed([x for x, _ in sets]), signed([y for _, y in sets])
+    rows = [(k, k, len(x), len(y), *a[k].tolist(), *b[k].tolist()) for k, (x, y) in enumerate(sets)]
+    columns = ["a long", "b long", "n_a long", "n_b long", *(f"sign_{k}_a long" for k in range(M.WORDS)), *(f"sign_{k}_b long" for k in range(M.WORDS))]
+    kept = {r.a for r in spark.createDataFrame(rows, ", ".join(columns)).where(M._may_link("a", "b", 85)).collect()}
+    linked = {k for k, (x, y) in enumerate(sets) if 100 * len({*x} & {*y}) >= 85 * len({*x} | {*y})}
+    assert linked <= kept and len(kept - linked) < len(sets) - len(linked)
+
+
+def test_a_templated_group_without_links(spark):
+    """Documents that share a template and have words of their own meet in many buckets; none is linked, and none is lost that is."""
+    draw = random.Random(36)
+    template = prose(draw, 100)
+    rows = [(k, " ".join([*template, *prose(draw, 18)])) for k in range(150)]
+    rows += [(500 + k, rows[k][1] + " end") for k in range(0, 150, 10)]
+    assert found(table(spark, rows)) == brute(rows)
