@@ -1,8 +1,8 @@
 """The corpus pipeline: reject toxic documents, drop near-duplicates, mask secrets, mix sources to target weights, encode.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's
-docs. All but the last return the columns of ``documents``. Rows whose doc_id is null are dropped by the second stage, as they
-can't be named as duplicates. ``run`` applies the stages to ``documents``.
+docs. All but the last return the columns of ``documents``. Rows with null or repeated doc_ids are documents of their own.
+``run`` applies the stages to ``documents``, which has the columns doc_id, text, source and n_chars, and perhaps others.
 """
 
 from __future__ import annotations
@@ -24,15 +24,21 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (``NEAR_PERCENT`` or more of their shingles shared) the document with the smallest doc_id; of rows that repeat a doc_id one, by text."""
-    kept = minhash_dedup.near_duplicates(docs, NEAR_PERCENT).where("kept").select("doc_id")
-    out = docs.join(kept, "doc_id", "left_semi")
-    # Only where ids repeat are rows compared: aggregates of ids alone tell.
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.limit(1).count():
-        first = out.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns))).alias("row"))
-        out = out.join(repeated, "doc_id", "left_anti").unionByName(first.select("row.*"))
-    return out.select(*docs.columns)
+    """Of each group of near-duplicates (``NEAR_PERCENT`` or more of their shingles shared) the document with the smallest doc_id.
+
+    Where doc_ids are null or repeat, rows are told apart by a number in the order of doc_id (nulls last) and text, so each row
+    is a document of its own and goes only if its text is near another's.
+    """
+    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if not odd.limit(1).count():
+        kept = minhash_dedup.near_duplicates(docs, NEAR_PERCENT).where("kept").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    order = [F.asc_nulls_last("row.doc_id"), F.xxhash64("text"), F.xxhash64("row")]
+    # Ranges follow each other as their partitions do, so the numbers rise with the order; once stored they stay.
+    numbered = stored(row.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("doc_id", F.monotonically_increasing_id()))
+    kept = minhash_dedup.near_duplicates(numbered, NEAR_PERCENT).where("kept").select("doc_id")
+    return numbered.join(kept, "doc_id", "left_semi").select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
