@@ -1,7 +1,11 @@
+import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 from palimpsest.llm import secrets as S
+from palimpsest.llm._common import Texts
 
 SCHEMA = "doc_id long, text string, spans string, kind string, n_chars long"
 
@@ -79,3 +83,49 @@ def test_default_samples_count_all_documents(spark):
     one = {s for s, label in S.default_samples(spark.createDataFrame(rows, SCHEMA)) if not label}
     seen = {w for s in one for w in re.findall("rare[a-z]{3}", s.lower())}
     assert len(seen) > 900
+
+
+ALPHABETS = {"hex": "0123456789ABCDEF", "base 32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base 36": "abcdefghijklmnopqrstuvwxyz0123456789", "base 64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "small letters": "abcdefghijklmnopqrstuvwxyz"}
+
+
+def test_held_out_strings_by_alphabet_and_length():
+    """Recall on random strings and false alarms on identifiers of words that training lacks."""
+    draw = random.Random(41)
+    syllables = ["an", "ber", "con", "der", "en", "for", "ing", "lo", "men", "per", "re", "st", "ti", "un", "ver", "wa"]
+    words = ["".join(draw.choice(syllables) for _ in range(draw.randint(1, 4))) for _ in range(3000)]
+    models = S.Models.fit([(s, 0) for s in S.identifiers(words[:2000], S.SAMPLE_STRINGS)] + [(s, 1) for s in S.random_strings(S.SAMPLE_STRINGS)])
+    hit = lambda t: bool(S.stretches(np.frombuffer(t.encode(), np.uint8), models))
+    for name, letters in ALPHABETS.items():
+        for size, least in ((20, 0.85), (24, 0.95), (40, 0.99)):
+            assert sum(hit("".join(draw.choices(letters, k=size))) for _ in range(200)) >= 200 * least, (name, size)
+    plain = [t for t in S.identifiers(words[2000:], 2000, seed=43) if len(t) >= S.LEAST]
+    assert len(plain) > 500 and sum(map(hit, plain)) <= 0.01 * len(plain)
+
+
+def test_the_models_decide(spark):
+    """A ratio of zero everywhere finds nothing beside base spans; the trained one finds the random string."""
+    text = "see values/index/Zq7xK9vB2mQ4tR8wLp3N here, and password=abcdef"
+    flat = S.Models(np.zeros((S._SYMBOLS + 1,) * 3, np.float32), np.zeros((1, S._SYMBOLS + 1, S._SYMBOLS + 1), np.float32))
+    texts = Texts(pa.array([text]))
+    assert [S.KINDS[k] for _, k, _ in S.find_spans(texts, flat)[0]] == ["assign"]
+    found = scanner(spark).scan(spark.createDataFrame([(1, text, "", "", 0)], SCHEMA), "doc_id").first().spans
+    assert [(s.kind, text[s.start : s.end]) for s in found] == [("random", "Zq7xK9vB2mQ4tR8wLp3N"), ("assign", "password=abcdef")]
+
+
+def test_query_columns(spark, tmp_path):
+    """Counts, digest and spans of the query, for all rows of a table, against the patterns written out."""
+    rows = [(i, t, "x", "y", 1) for i, t in enumerate(given())] + [(None, "token: abcdefg", "x", "y", 1)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    out = S.query(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        want = base("token: abcdefg" if r.doc_id is None else rows[r.doc_id][1])
+        written = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for k, *_ in want) for kind in S.KINDS[:3])
+        assert r.base_sha256 == hashlib.sha256(written.encode()).hexdigest()
+        assert ",".join(s for s in r.spans.split(",") if not s.startswith("random")) == written
+
+
+def test_clashing_column_names(spark):
+    out = scanner(spark).scan(spark.createDataFrame([(1, "x secret=abcdef1 y", "mine", "k", 3)], SCHEMA), "doc_id", "kind", "n_chars").first()
+    assert (out.doc_id, out.kind, out.n_chars, [tuple(s) for s in out.spans]) == (1, "k", 3, [("assign", 2, 16)])
