@@ -4,8 +4,8 @@
 merges those it lacks by the vocabulary's merge ranks; ids are the same whatever the automaton holds. ``decode`` turns ids
 into text. All steps work on whole arrays of words (numpy), not word by word.
 
-The automaton's words are those that hold at least ``LEXICON_SHARE`` of the tokens of some piece of the corpus. Every word
-with that share of all tokens has it in at least one piece, so none is missed; the most frequent ``LEXICON_WORDS`` stay.
+The automaton's words are those that hold at least ``LEXICON_SHARE`` of all tokens of the corpus, counted in the pieces in
+which they have that share of the piece's tokens: 25,000 words at most, whatever the corpus.
 
 Null texts count as empty and have no ids. Empty tables give no rows. Repeated rows each give a row. Strings of the
 vocabulary's added tokens inside a text become that token, as the tokenizers library has it.
@@ -29,10 +29,9 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Texts, chunks, documents_view, mixed, prefix_hashes, prepare, read_table, release, span_hashes
+from ._common import Texts, chunks, documents_view, drop_stored, mixed, prefix_hashes, prepare, read_table, release, span_hashes, stored
 
-LEXICON_SHARE = 2e-5
-LEXICON_WORDS = 1 << 16
+LEXICON_SHARE = 4e-5
 #: Text bytes of a piece; distinct words are handled once in each.
 PIECE_BYTES = 1 << 19
 #: Longer words are merged one by one with a heap.
@@ -416,22 +415,26 @@ class Transducer:
         return out
 
 
-def frequent_words(docs: DataFrame, added: dict[str, int], share: float = LEXICON_SHARE, most: int = LEXICON_WORDS) -> list[bytes]:
-    """The corpus's most frequent words; see the module's text."""
+def frequent_words(docs: DataFrame, added: dict[str, int], share: float = LEXICON_SHARE, most: int | None = None) -> list[bytes]:
+    """The corpus's frequent words, sorted; see the module's text. most: only so many, the most frequent."""
 
     def count(piece: pa.RecordBatch) -> pa.RecordBatch:
         split = Split(Texts(piece.column("text")), added)
-        chosen = np.flatnonzero(split.counts >= share * max(1, len(split.starts)))
+        chosen = np.flatnonzero(split.counts >= share * len(split.starts))
         data, at = split.distinct(chosen)
         raw = data.tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([raw[at[i] : at[i + 1]] for i in range(len(chosen))], pa.binary()), pa.array(split.counts[chosen])], ["word", "n"])
+        # The empty word counts all tokens.
+        return pa.RecordBatch.from_arrays([pa.array([b"", *(raw[at[i] : at[i + 1]] for i in range(len(chosen)))], pa.binary()), pa.array([len(split.starts), *split.counts[chosen].tolist()])], ["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches, "text", PIECE_BYTES):
             yield count(piece)
 
-    counts = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return sorted(bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(most).collect())
+    counts = stored(docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.where(F.octet_length("word") == 0).agg(F.sum("n")).first()[0] or 0
+    found = counts.where((F.octet_length("word") > 0) & (F.col("n") >= share * total)).collect()  # 1 / share rows at most
+    drop_stored(counts)
+    return sorted(bytes(r.word) for r in sorted(found, key=lambda r: (-r.n, bytes(r.word)))[:most])
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary) -> Transducer:
