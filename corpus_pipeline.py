@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, minhash_dedup, mixing, secrets, toxicity
-from palimpsest.llm._common import read_table, stored
+from palimpsest.llm._common import free_names, read_table, stored
 
 #: Stages on word shingles link at this share; the 85 % of ``op2_minhash_dedup`` bind that query only.
 NEAR_PERCENT = 80
@@ -20,7 +20,8 @@ NEAR_PERCENT = 80
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject; it is fitted on labelled rows of docs outside the held-out ones."""
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, *docs.columns).where("predicted = 0").select(*docs.columns)
+    score, predicted = free_names(docs.columns, "score", "predicted")
+    return toxicity.scored(docs, model, *docs.columns, score=score, predicted=predicted).where(F.col(predicted) == 0).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +43,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each secret replaced by a mask; n_chars follows."""
+    """All documents, with each secret replaced by a mask; n_chars follows where there is such a column."""
     scanner = secrets.Scanner(spark, secrets.default_samples(docs))
     out = scanner.redact(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -185,6 +185,23 @@ def documents_view(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
 
 
+def unlike(columns: tuple[str, ...], *added: str) -> None:
+    """Fails if a column that an operator adds has the name of one that it keeps (names differ in more than case)."""
+    clash = {c.lower() for c in columns} & {c.lower() for c in added}
+    if clash or len({c.lower() for c in added}) < len(added):
+        raise ValueError(f"columns that are kept and added share a name: {sorted(clash) or added}; give the added ones other names")
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores after those that columns have."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def held_out(column: str = "doc_id"):
     """Rows that no model may learn from: crc32(doc_id as text) mod 4 is 2."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2, F.lit(False))

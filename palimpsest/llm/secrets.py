@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Texts, chunks, documents_view, drop_stored, prepare, read_table, stored
+from ._common import Texts, chunks, documents_view, drop_stored, prepare, read_table, stored, unlike
 
 # The base patterns, their least lengths, and the kinds in their order.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -286,9 +286,10 @@ class Scanner:
         prepare(spark)
         self._shared = spark.sparkContext.broadcast(Models.fit(samples))
 
-    def scan(self, df: DataFrame, *keep: str) -> DataFrame:
-        """The columns ``keep`` and spans: array of (kind, start, end) by start, then kind as listed."""
-        return self._map(df, keep, ", spans array<struct<kind: string, start: int, end: int>>", self._spans)
+    def scan(self, df: DataFrame, *keep: str, spans: str = "spans") -> DataFrame:
+        """The columns ``keep`` and spans (under another name if one is given): array of (kind, start, end) by start, then kind as listed."""
+        unlike(keep, spans)
+        return self._map(df, keep, f", `{spans}` array<struct<kind: string, start: int, end: int>>", self._spans, spans)
 
     def redact(self, df: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         """All columns, with every span in text replaced by ``mask`` (overlapping spans by one)."""

@@ -1,8 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A text's words are its runs of bytes other than ASCII marks and white space, A-Z lower-cased. Its features are each word,
-each pair of neighbours and each pair with one word between, hashed to ``BUCKETS`` coordinates and counted, over the root of the text's length. As many
-languages inflect, words of more than ``STEMS`` bytes also count as their first so many bytes (1-grams only). Learning rates
+each pair of neighbours and each pair with one word between, hashed to ``BUCKETS`` coordinates and counted, over the root of
+the text's length. As many languages inflect, words of more than ``STEMS`` bytes also count as their first so many bytes (1-grams only). Learning rates
 are per coordinate, and L1 keeps the weights few: they are broadcast as two short arrays.
 
 Weights are fitted on at most ``TRAIN_ROWS`` labelled documents (whole texts) outside the held-out rows, in one task that
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BYTE_VALUE, LOWER, Texts, chunks, documents_view, held_out, mixed, prefix_hashes, prepare, read_table, seeded, span_hashes
+from ._common import BYTE_VALUE, LOWER, Texts, chunks, documents_view, held_out, mixed, prefix_hashes, prepare, read_table, seeded, span_hashes, unlike
 from ._labelled import fit_in_one_task, labelled_sample
 
 BUCKETS = 1 << 20
@@ -111,9 +111,10 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mo
     return found.feature.to_numpy(np.int32), found.weight.to_numpy(np.float32), bias, share
 
 
-def scored(documents: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns ``keep`` of each document, and score: the probability that its text is toxic."""
+def scored(documents: DataFrame, model: Model, *keep: str, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """The columns ``keep`` of each document, score (the probability that its text is toxic) and predicted, under other names if these are given."""
     prepare(documents.sparkSession)
+    unlike(keep, score, predicted)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def setup():
@@ -126,16 +127,16 @@ def scored(documents: DataFrame, model: Model, *keep: str) -> DataFrame:
         table, bias, share = setup()
         for piece in chunks(batches, "text"):
             where, at = features(Texts(piece.column("text")))
-            score = np.full(len(at) - 1, share)
+            out = np.full(len(at) - 1, share)
             full = np.flatnonzero(np.diff(at))
             if len(full):
                 total = np.add.reduceat(table[where].astype(np.float64), at[:-1][full]) * SCALE / np.sqrt(np.diff(at)[full])
-                score[full] = 1 / (1 + np.exp(-np.clip(total + bias, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in keep), pa.array(score)], [*keep, "score"])
+                out[full] = 1 / (1 + np.exp(-np.clip(total + bias, -35, 35)))
+            yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in keep), pa.array(out)], [*keep, score])
 
     kinds = dict(documents.dtypes)
-    out = documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "score double"]))
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    made = documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), f"`{score}` double"]))
+    return made.withColumn(predicted, (F.col(score) >= THRESHOLD).cast("int"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
