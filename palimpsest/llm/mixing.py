@@ -4,17 +4,19 @@ A document's size is its number of words (runs of other bytes than 20 and 09-0D;
 point order, null last, weigh ``WEIGHTS``, repeating, and share the corpus's size; no target exceeds ``MOST_TIMES`` times
 its source's size, and what is above is shared anew by weight until none is above.
 
-1. A source's documents, ordered by hash buckets and doc_id, form one stream of words, cut into blocks of one length:
-   ``BLOCK_WORDS``, or less in a source of fewer than ``LEAST_BLOCKS`` such blocks. Positions are two-level prefix sums;
-   no task holds a source.
-2. A source gets as many slots as its target has blocks. Each output shard draws the numbers of its slots by source from
-   a multinomial whose weights are the slots that remain, so that all are used up at the end.
+1. A source's documents, ordered by hash buckets and rows, form one stream of words, cut into blocks of ``BLOCK_WORDS``; the
+   last one may be shorter. Positions are two-level prefix sums; no task holds a source.
+2. A source gets as many slots as it takes to come to its target, to the word: the last slot takes just the words that are
+   left. Each output shard draws the numbers of its slots by source from a multinomial whose weights are the slots that
+   remain, so that all are used up at the end. Beyond ``MOST_GROUPS`` shards the driver draws for groups of shards, and
+   executors for the shards of each group.
 3. Slot k of a source takes block ``permutation(k mod blocks)`` of round ``k div blocks``: in each round a keyed Feistel
    network permutes the indexes, so a block comes once a round and never more than ``MOST_TIMES`` times.
 4. Slots join blocks by source and index, and blocks are parts of documents by position.
 
-Reruns give the same mix. Documents without words are never taken. Repeated rows each are documents of their own. Empty
-tables give no rows. Sources are assumed to be few, as the mix's weights are: they are the only thing the driver collects.
+Reruns give the same mix. Documents without words are never taken. Rows with null or repeated doc_ids are documents of their
+own: they are told apart by a number in the order of doc_id (nulls last) and text. Empty tables give no rows. The driver holds
+one row for each source, so more than ``MOST_SOURCES`` are refused with an error (a mix has a weight for each).
 """
 
 from __future__ import annotations
@@ -26,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Texts, chunks, mixed, prepare, read_table, stored
+from ._common import Texts, chunks, drop_stored, free_names, mixed, prepare, read_table, stored
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
-BLOCK_WORDS, LEAST_BLOCKS = 1024, 4096
-#: Words of an output shard, until there are as many shards as may be.
-SHARD_WORDS, MOST_SHARDS = 1 << 20, 4096
-BUCKET_ROWS, MOST_BUCKETS = 1000, 1 << 20
+BLOCK_WORDS = 1024
+#: Words of an output shard, and groups of shards that the driver draws for.
+SHARD_WORDS, MOST_GROUPS = 1 << 20, 4096
+#: Rows of a bucket on average.
+BUCKET_ROWS = 1000
+MOST_SOURCES = 10_000
 SEED = 20_240_501
 
 _U = np.uint64
@@ -59,113 +63,189 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return out
 
 
-def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """The place of each index below n in the permutation of 0..n-1 that key names: a Feistel network, walked until it is below n."""
+def _halves(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of each half of a number below n, and their mask."""
     half = (np.ceil(np.log2(np.maximum(n, 2).astype(np.float64)) / 2)).astype(_U)
     half = np.where((_U(1) << (half * _U(2))) < n.astype(_U), half + _U(1), half)
-    mask = (_U(1) << half) - _U(1)
+    return half, (_U(1) << half) - _U(1)
+
+
+def _turned(x: np.ndarray, key: np.ndarray, turn: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(x + mixed(key + _U(turn)))
+
+
+def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The place of each index below n in the permutation of 0..n-1 that key names: a Feistel network, walked until it is below n."""
+    half, mask = _halves(n)
     out, todo = index.astype(_U), np.arange(len(index))
     while len(todo):
         h, m = half[todo], mask[todo]
         left, right = out[todo] >> h, out[todo] & m
-        with np.errstate(over="ignore"):
-            for turn in range(4):
-                left, right = right, left ^ (mixed(right + mixed(key[todo] + _U(turn))) & m)
+        for turn in range(4):
+            left, right = right, left ^ (_turned(right, key[todo], turn) & m)
         out[todo] = (left << h) | right
         todo = todo[out[todo] >= n[todo].astype(_U)]
     return out.astype(np.int64)
 
 
+def index_of(place: int, n: int, key: int) -> int:
+    """The index that ``permuted`` puts at a place."""
+    half, mask = _halves(np.array([n]))
+    out, own = np.array([place], _U), np.array([key], _U)
+    while True:
+        left, right = out >> half, out & mask
+        for turn in reversed(range(4)):
+            left, right = right ^ (_turned(left, own, turn) & mask), left
+        out = (left << half) | right
+        if out[0] < n:
+            return int(out[0])
+
+
+def round_key(number: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """The key of each source's permutation in each round."""
+    return mixed(mixed(number.astype(_U) + _U(SEED)) + turn.astype(_U)) if len(number) else number.astype(_U)
+
+
+def slots_for(number: int, words: int, size: int) -> tuple[int, int]:
+    """How many slots a source of ``size`` words needs to take so many words, and how many words the last one takes of its block."""
+    if not words:
+        return 0, 0
+    blocks = -(-size // BLOCK_WORDS)
+    rounds, rest = divmod(words, size)
+    if not rest:  # the last slot takes its whole block
+        return rounds * blocks, BLOCK_WORDS
+    # The short block comes at this place in the round that ends early.
+    place = index_of(blocks - 1, blocks, int(round_key(np.array([number]), np.array([rounds]))[0]))
+    short = size - (blocks - 1) * BLOCK_WORDS
+    if rest > place * BLOCK_WORDS + short:
+        rest += BLOCK_WORDS - short  # as if the short block were whole
+    return rounds * blocks + -(-rest // BLOCK_WORDS), rest - (-(-rest // BLOCK_WORDS) - 1) * BLOCK_WORDS
+
+
+def drawn(slots: np.ndarray, shards: int, seed) -> list[np.ndarray]:
+    """Each shard's numbers of slots by source: a multinomial draw for each shard over what remains; the last takes the rest."""
+    draw, left, out = np.random.default_rng(seed), slots.astype(np.int64), []
+    for shard in range(shards):
+        remaining = int(left.sum())
+        if shard == shards - 1 or not remaining:
+            out.append(left)
+            break
+        taken = np.minimum(draw.multinomial(-(-remaining // (shards - shard)), left / remaining), left)
+        out.append(taken)
+        left = left - taken
+    return out
+
+
 class Mix:
     """A plan for mixing ``documents`` (doc_id, text, source, and any other columns) and its parts as DataFrames."""
 
     def __init__(self, documents: DataFrame, weights: tuple[int, ...] = WEIGHTS):
         spark = documents.sparkSession
         prepare(spark)
-        self.documents = documents
-        self.rows = stored(self._sized(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")).select("doc_id", "source", "size"))
-        summary = self.rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+        self.columns, self.kinds = documents.columns, dict(documents.dtypes)
+        self.keyed = self._keyed(documents)
+        size = F.coalesce(F.regexp_count(F.col("row.text"), F.lit(WORD)), F.lit(0)).cast("long")
+        self.rows = stored(self.keyed.select("key", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").cast("string").alias("source"), size.alias("size")))
+        grouped = stored(self.rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
+        if grouped.count() > MOST_SOURCES:
+            raise ValueError(f"more than {MOST_SOURCES} sources; make them coarser")
         # UTF-8 bytes sort as code points do.
-        summary.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
+        summary = sorted(grouped.collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
+        drop_stored(grouped)
         sizes = [int(r["size"]) for r in summary]
         goals = targets(sizes, weights)
-        words = [max(1, min(BLOCK_WORDS, size // LEAST_BLOCKS)) for size in sizes]
-        blocks = [-(-size // w) for size, w in zip(sizes, words, strict=True)]
-        slots = [min(MOST_TIMES * b, round(g * b / s)) if s else 0 for g, b, s in zip(goals, blocks, sizes, strict=True)]
-        schema = "number int, source string, source_size long, target double, words long, blocks long, slots long"
-        self.sources = spark.createDataFrame([(k, r["source"], *x) for k, (r, *x) in enumerate(zip(summary, sizes, goals, words, blocks, slots, strict=True))], schema)
-        self.draws = self._drawn(slots, max(1, min(MOST_SHARDS, -(-sum(sizes) // SHARD_WORDS))))
-        total = sum(r["n"] for r in summary)
-        self.placed = stored(self._placed(max(1, min(MOST_BUCKETS, total // BUCKET_ROWS))))
+        plan = [slots_for(k, min(MOST_TIMES * size, round(goal)), size) for k, (goal, size) in enumerate(zip(goals, sizes, strict=True))]
+        schema = "number int, source string, source_size long, target double, blocks long, slots long, last_words long"
+        self.sources = spark.createDataFrame([(k, r["source"], size, goal, -(-size // BLOCK_WORDS), *own) for k, (r, size, goal, own) in enumerate(zip(summary, sizes, goals, plan, strict=True))], schema)
+        self.shards = max(1, -(-sum(sizes) // SHARD_WORDS))
+        self.draws = self._drawn(np.array([n for n, _ in plan], np.int64), min(self.shards, MOST_GROUPS))
+        self.placed = stored(self._placed(max(1, sum(r["n"] for r in summary) // BUCKET_ROWS)))
 
     @staticmethod
-    def _sized(documents: DataFrame) -> DataFrame:
-        return documents.withColumn("source", F.col("source").cast("string")).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    def _keyed(documents: DataFrame) -> DataFrame:
+        """row (all columns) and key, a number of its own for each row: the doc_id where that is one."""
+        rows = documents.select(F.struct(*documents.columns).alias("row"))
+        own = F.col("row.doc_id").cast("long").alias("key")
+        if not rows.select(own).groupBy("key").count().where("count > 1 or key is null").limit(1).count():
+            return rows.select("row", own)
+        order = [F.asc_nulls_last(F.col("row.doc_id").cast("long")), F.xxhash64("row.text"), F.xxhash64("row")]
+        # Ranges follow each other as their partitions do, so the numbers rise with the order; once stored they stay.
+        return stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id()))
 
     def _numbered(self, df: DataFrame) -> DataFrame:
         own = self.sources.select("number", F.col("source").alias("own_source"))
         return df.join(F.broadcast(own), F.col("source").eqNullSafe(F.col("own_source"))).drop("own_source")
 
     @staticmethod
-    def _drawn(slots: list[int], shards: int) -> list[tuple[int, int, int, int]]:
-        """(shard, source's number, its first slot, its slots there): a multinomial draw for each shard over what remains."""
-        draw = np.random.default_rng(SEED)
-        left, out = np.array(slots, np.int64), []
-        for shard in range(shards):
-            remaining = int(left.sum())
-            if not remaining:
-                break
-            room = -(-remaining // (shards - shard))
-            taken = np.minimum(draw.multinomial(room, left / remaining), left)
-            if shard == shards - 1:
-                taken = left.copy()
-            for k in np.flatnonzero(taken):
-                out.append((shard, int(k), slots[k] - int(left[k]), int(taken[k])))
-            left = left - taken
+    def _drawn(slots: np.ndarray, groups: int) -> list[tuple[int, int, int, int]]:
+        """(group, source's number, its first slot, its slots there)."""
+        out, first = [], np.zeros(len(slots), np.int64)
+        for group, taken in enumerate(drawn(slots, groups, SEED)):
+            out += [(group, int(k), int(first[k]), int(taken[k])) for k in np.flatnonzero(taken)]
+            first = first + taken
         return out
 
     def _placed(self, buckets: int) -> DataFrame:
-        """number, doc_id, size, begin: where in its source's stream each document with words begins."""
-        numbered = self._numbered(self.rows.where("size > 0")).select("number", "doc_id", "size")
-        numbered = numbered.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
+        """number, key, size, begin: where in its source's stream each document with words begins."""
+        numbered = self._numbered(self.rows.where("size > 0")).select("number", "key", "size")
+        numbered = numbered.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
         sums = numbered.groupBy("number", "bucket").agg(F.sum("size").alias("in_bucket"))
         before = sums.withColumn("before", F.sum("in_bucket").over(Window.partitionBy("number").orderBy("bucket")) - F.col("in_bucket")).select("number", "bucket", "before")
-        order = Window.partitionBy("number", "bucket").orderBy(F.asc_nulls_first("doc_id"), "size").rowsBetween(Window.unboundedPreceding, 0)
+        order = Window.partitionBy("number", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
         inside = numbered.withColumn("until", F.sum("size").over(order))
-        return inside.join(before, ["number", "bucket"]).select("number", "doc_id", "size", (F.col("before") + F.col("until") - F.col("size")).alias("begin"))
+        return inside.join(before, ["number", "bucket"]).select("number", "key", "size", (F.col("before") + F.col("until") - F.col("size")).alias("begin"))
 
     def slots(self) -> DataFrame:
-        """shard, number, slot, round, block: which block of its source each output slot takes."""
+        """shard, number, slot, round, block, most: which block of its source each output slot takes, and how many words of it at most."""
         spark = self.rows.sparkSession
-        drawn = spark.createDataFrame(self.draws, "shard int, number int, first long, taken long") if self.draws else spark.createDataFrame([], "shard int, number int, first long, taken long")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        each = drawn.repartition(parts, "shard", "number").select("shard", "number", F.explode(F.sequence("first", F.col("first") + F.col("taken") - 1)).alias("slot"))
-        each = each.join(F.broadcast(self.sources.select("number", "blocks")), "number").select("shard", "number", "slot", "blocks")
+        groups, parts = min(self.shards, MOST_GROUPS), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        by_group = spark.createDataFrame(self.draws, "shard int, number int, first long, taken long")
+        if self.shards > groups:
+            each = -(-self.shards // groups)
+
+            def split(batch: pa.Table) -> pa.Table:
+                batch = batch.sort_by("number")
+                group, number, first = batch.column("shard")[0].as_py(), batch.column("number").to_numpy(), batch.column("first").to_numpy().copy()
+                out = []
+                for k, taken in enumerate(drawn(batch.column("taken").to_numpy(), each, [SEED, group])):
+                    out += [(group * each + k, int(number[i]), int(first[i]), int(taken[i])) for i in np.flatnonzero(taken)]
+                    first = first + taken
+                return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["shard", "number", "first", "taken"])
+
+            by_group = by_group.groupBy("shard").applyInArrow(split, "shard int, number int, first long, taken long")
+        slots = by_group.repartition(parts, "shard", "number").select("shard", "number", F.explode(F.sequence("first", F.col("first") + F.col("taken") - 1)).alias("slot"))
+        slots = slots.join(F.broadcast(self.sources.select("number", "blocks", F.col("slots").alias("all_slots"), "last_words")), "number")
+        most = F.when(F.col("slot") == F.col("all_slots") - 1, F.col("last_words")).otherwise(BLOCK_WORDS)
+        slots = slots.select("shard", "number", "slot", "blocks", most.cast("long").alias("most"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 number, slot, blocks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("number", "slot", "blocks"))
                 turn = slot // np.maximum(blocks, 1)
-                key = mixed(mixed(number.astype(_U) + _U(SEED)) + turn.astype(_U)) if len(number) else slot.astype(_U)
-                yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("number"), batch.column("slot"), pa.array(turn.astype(np.int32)), pa.array(permuted(slot % np.maximum(blocks, 1), blocks, key))], ["shard", "number", "slot", "round", "block"])
+                block = permuted(slot % np.maximum(blocks, 1), blocks, round_key(number, turn))
+                yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("number"), batch.column("slot"), pa.array(turn.astype(np.int32)), pa.array(block), batch.column("most")], ["shard", "number", "slot", "round", "block", "most"])
 
-        return each.mapInArrow(run, "shard int, number int, slot long, round int, block long")
+        return slots.mapInArrow(run, "shard int, number int, slot long, round int, block long, most long")
 
     def parts(self) -> DataFrame:
-        """number, doc_id, size, begin, block, low, high: the words [low, high) of each document that each block holds."""
-        words = F.col("words")
-        cut = self.placed.join(F.broadcast(self.sources.select("number", "words")), "number")
-        cut = cut.select("*", F.explode(F.sequence(F.floor(F.col("begin") / words), F.floor((F.col("begin") + F.col("size") - 1) / words))).alias("block"))
-        low, high = F.greatest(F.col("block") * words - F.col("begin"), F.lit(0)), F.least((F.col("block") + 1) * words - F.col("begin"), F.col("size"))
-        return cut.select("number", "doc_id", "size", "begin", "block", low.alias("low"), high.alias("high"))
+        """number, key, size, block, low, high, place: the words [low, high) of each document that each block holds, the first at that place of the block."""
+        spread = F.sequence(F.floor(F.col("begin") / BLOCK_WORDS), F.floor((F.col("begin") + F.col("size") - 1) / BLOCK_WORDS))
+        cut = self.placed.select("*", F.explode(spread).alias("block"))
+        low, high = F.greatest(F.col("block") * BLOCK_WORDS - F.col("begin"), F.lit(0)), F.least((F.col("block") + 1) * BLOCK_WORDS - F.col("begin"), F.col("size"))
+        return cut.select("number", "key", "size", "block", low.alias("low"), high.alias("high"), (F.col("begin") + low - F.col("block") * BLOCK_WORDS).alias("place"))
+
+    def uses(self) -> DataFrame:
+        """key, round, low, high: the words that each round takes of each document, by block."""
+        joined = self.parts().join(self.slots().select("number", "block", "round", "most"), ["number", "block"])
+        high = F.least("high", F.col("low") + F.col("most") - F.col("place"))
+        return joined.select("key", "round", "low", high.alias("high")).where("high > low")
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken of each document."""
-        times = self.slots().groupBy("number", "block").agg(F.count("*").alias("times"))
-        used = self.parts().join(times, ["number", "block"]).groupBy("number", "doc_id", "size", "begin").agg(F.sum((F.col("high") - F.col("low")) * F.col("times")).alias("taken"))
-        found = self.placed.join(used.select("number", "begin", "taken"), ["number", "begin"], "left").select("doc_id", "size", "number", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-        none = self._numbered(self.rows.where("size = 0")).select("doc_id", "size", "number", F.lit(0).cast("long").alias("taken"))
-        return found.unionByName(none).join(F.broadcast(self.sources.select("number", "source_size", "target")), "number").select("doc_id", "size", "source_size", "target", "taken")
+        used = self.uses().groupBy("key").agg(F.sum(F.col("high") - F.col("low")).alias("taken"))
+        found = self._numbered(self.rows).join(used, "key", "left").join(F.broadcast(self.sources.select("number", "source_size", "target")), "number")
+        return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
     def mixed_documents(self) -> DataFrame:
         """The mix with the documents' columns: a row for each document and round, whose text is the words that the round takes (n_chars follows).
@@ -173,20 +253,11 @@ class Mix:
         A round that takes a whole document keeps its text as it is. Of others the words of neighbouring blocks keep what
         stands between them; those of blocks apart are joined by a space.
         """
-        uses = self.parts().join(self.slots().select("number", "block", "round"), ["number", "block"])
-        uses = uses.groupBy("number", "doc_id", "size", "begin", "round").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("ranges"))
-        # Of documents that agree in id, source and size the n-th by text has the n-th place in the stream.
-        key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
-        uses = uses.groupBy("number", key, "size").agg(F.collect_list(F.struct("begin", "round", "ranges")).alias("uses"))
-        begins = self.placed.groupBy("number", key, "size").agg(F.array_sort(F.collect_list("begin")).alias("begins"))
-        rows = self.documents.select(F.struct(*self.documents.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-        dealt = self._numbered(self._sized(rows)).select("row", "number", key, "size")
-        order = Window.partitionBy("number", "key", "size").orderBy("row.text")
-        dealt = dealt.withColumn("copy", F.row_number().over(order)).join(begins.join(uses, ["number", "key", "size"]), ["number", "key", "size"])
-        own = F.filter("uses", lambda u: u["begin"] == F.get("begins", F.col("copy") - 1))
-        each = dealt.withColumn("use", F.explode(own)).select("row.*", F.col("use.ranges").alias("_ranges"))
-        columns = self.documents.columns
-        kinds = dict(self.documents.dtypes)
+        uses = self.uses().groupBy("key", "round").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("ranges"))
+        each = self.keyed.join(uses, "key").select("row", "ranges")
+        columns, kinds = self.columns, self.kinds
+        (ranges_name,) = free_names(columns, "ranges")
+        each = each.select("row.*", F.col("ranges").alias(ranges_name))
         has_count = "n_chars" in columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +265,7 @@ class Mix:
                 texts = Texts(piece.column("text"))
                 starts, ends, first = texts.words()
                 raw, out = texts.data.tobytes(), []
-                for i, ranges in enumerate(piece.column("_ranges").to_pylist()):
+                for i, ranges in enumerate(piece.column(ranges_name).to_pylist()):
                     joined: list[list[int]] = []
                     for r in ranges:
                         if joined and joined[-1][1] == r["low"]:

@@ -79,3 +79,62 @@ def test_nothing_to_mix(spark):
     assert M.Mix(frame(spark, [])).taken().count() == 0
     assert [r.taken for r in M.Mix(frame(spark, [(1, None, None), (2, " ", "a")])).taken().collect()] == [0, 0]
     assert M.Mix(frame(spark, [(1, None, None)])).mixed_documents().count() == 0
+
+
+def test_the_inverse_permutation():
+    for n in (1, 2, 5, 64, 1000):
+        places = M.permuted(np.arange(n), np.full(n, n), np.full(n, 9, np.uint64))
+        assert all(M.index_of(int(places[i]), n, 9) == i for i in range(0, n, max(1, n // 50)))
+
+
+def test_slots_come_to_the_target_to_the_word():
+    draw = np.random.default_rng(4)
+    for number in range(200):
+        size = int(draw.integers(1, 12 * M.BLOCK_WORDS))
+        words = int(draw.integers(0, 3 * size + 1))
+        n, last = M.slots_for(number, words, size)
+        blocks = -(-size // M.BLOCK_WORDS)
+        turn = np.arange(n) // blocks
+        block = M.permuted(np.arange(n) % blocks, np.full(n, blocks), M.round_key(np.full(n, number), turn))
+        of = [min(M.BLOCK_WORDS, size - b * M.BLOCK_WORDS) for b in block.tolist()]
+        assert sum(of[:-1]) + min([last, *of[-1:]]) * bool(n) == words
+
+
+def test_draws_use_up_all_slots():
+    slots = np.array([500, 0, 3, 1000])
+    for shards in (1, 2, 7, 40):
+        out = M.drawn(slots, shards, 5)
+        assert len(out) <= shards and (sum(out) == slots).all() and max(abs(x.sum() - 1503 / shards) for x in out) <= shards
+
+
+def test_taken_by_brute_force(spark, monkeypatch):
+    """Each document's words against a stream laid out word by word and slots walked one by one, over several groups of shards."""
+    monkeypatch.setattr(M, "SHARD_WORDS", 3000)
+    monkeypatch.setattr(M, "MOST_GROUPS", 3)
+    rows = [(i, " ".join(f"w{k}" for k in range(37 * i % 900)), ("a", "b", "c")[i % 7 % 3]) for i in range(120)]
+    mix = M.Mix(frame(spark, rows))
+    order = {}
+    for r in mix.placed.orderBy("number", "begin").collect():
+        order.setdefault(r.number, []).append((r.key, r["size"]))
+    want = {i: 0 for i, _, _ in rows}
+    names = ["a", "b", "c"]
+    goals = M.targets([sum(size(t) for _, t, s in rows if s == name) for name in names])
+    assert {n: sorted(k for k, _ in own) for n, own in order.items()} == {n: sorted(i for i, t, s in rows if s == name and size(t)) for n, name in enumerate(names)}
+    for number, own in order.items():
+        stream = [key for key, n in own for _ in range(n)]
+        blocks = [stream[i : i + M.BLOCK_WORDS] for i in range(0, len(stream), M.BLOCK_WORDS)]
+        left, k = round(goals[number]), 0
+        while left:
+            turn = np.array([k // len(blocks)])
+            b = int(M.permuted(np.array([k % len(blocks)]), np.array([len(blocks)]), M.round_key(np.array([number]), turn))[0])
+            for key in blocks[b][:left]:
+                want[key] += 1
+            left -= len(blocks[b][:left])
+            k += 1
+    assert {r.doc_id: r.taken for r in mix.taken().collect()} == want
+    slots = mix.slots().collect()
+    assert sorted((r.number, r.slot) for r in slots) == sorted((r.number, k) for r in mix.sources.collect() for k in range(r.slots))
+    assert len({r.shard for r in slots}) > 3
+    monkeypatch.setattr(M, "MOST_SOURCES", 2)
+    with pytest.raises(ValueError, match="sources"):
+        M.Mix(frame(spark, rows))
