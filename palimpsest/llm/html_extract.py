@@ -1,8 +1,10 @@
 """Main text of web pages: each page is held against the page whose URL is nearest on its host, and shared lines go.
 
 A page's lines are the texts of its blocks. Pages of a host are ordered by path; of the pages before and after, the one with
-the longer common path prefix is the pair (the one before if equal). The lines of both are aligned by a longest common
-subsequence, and shared lines are deleted, with two exceptions that markup decides, since line differences can't:
+the longer common path prefix is the pair (the one before if equal), unless it shares every line: a copy says nothing about
+what is boilerplate, and the other one is the pair if it is none. The lines of both, each with the elements that it stands in,
+are aligned by a longest common subsequence, and shared lines are deleted, with two exceptions that markup decides, since line
+differences can't:
 
 * what stands in menus, page headers and footers, sidebars, notices, adverts, forms, comment sections and the like goes
   whether the pair shares it or not (such blocks often differ from page to page);
@@ -12,7 +14,7 @@ subsequence, and shared lines are deleted, with two exceptions that markup decid
 Inside a block white space becomes one space, and blocks are joined by one space. Character references are decoded. Markup
 is read as browsers do where it is broken: unclosed elements, stray end tags, pages cut off within a tag or a reference.
 
-Null and empty pages have the empty text. Null URLs count as one host without a path; repeated URLs are pages of their own.
+Null and blank pages have the empty text and are nobody's pair. Null URLs count as one host without a path; repeated URLs are pages of their own.
 Empty tables give no rows.
 """
 
@@ -42,6 +44,9 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 NAMES = frozenset("ad ads adbox adslot advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promos promotion banner banners cookie cookies cookiebar consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay sidebar sidenav aside menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist reply replies respond disqus discussion share sharing social related recommended recommendations widget widgets pagination pager login search skip".split())
 
+#: Elements of a line's path that are compared, the innermost ones.
+PATH = 8
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z].*\Z""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 
@@ -56,6 +61,13 @@ class Line:
     dropped: bool
     #: In the article's own flow, not in a further container.
     flow: bool
+    #: The elements around it.
+    path: str = ""
+
+    @property
+    def aligned(self) -> tuple[str, str]:
+        """What must agree for two lines to be the same."""
+        return self.path, self.text
 
 
 def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
@@ -85,7 +97,7 @@ def lines_of(page: str) -> list[Line]:
             parts.clear()
             if text:
                 name, dropped, article, main, flow, header = stack[-1]
-                out.append(Line(text, article, main, dropped or (header and not any(e[0] in HEADINGS for e in stack)), flow))
+                out.append(Line(text, article, main, dropped or (header and not any(e[0] in HEADINGS for e in stack)), flow, "/".join(e[0] for e in stack[-PATH:])))
 
     at, size = 0, len(page)
     while at < size:
@@ -136,7 +148,7 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
+def shared_lines(a: list, b: list) -> set[int]:
     """Places in a of a longest common subsequence with b, by increasing runs over matching places."""
     begin = 0
     while begin < len(a) and begin < len(b) and a[begin] == b[begin]:
@@ -166,9 +178,18 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
+def shared_with(lines: list[Line], other: list[Line]) -> set[int]:
+    """Places of the lines that an alignment with another page's lines shares."""
+    return shared_lines([x.aligned for x in lines], [x.aligned for x in other])
+
+
 def main_text(lines: list[Line], pair: list[Line] | None) -> str:
     """The page's main text, given the lines of its pair if it has one."""
-    shared = shared_lines([x.text for x in lines], [x.text for x in pair]) if pair else set()
+    return text_without(lines, shared_with(lines, pair) if pair else set())
+
+
+def text_without(lines: list[Line], shared: set[int]) -> str:
+    """The page's main text, given the places of the lines that its pair shares."""
     if any(x.article for x in lines):
         rooted, inside = True, [x.article for x in lines]
     elif any(x.main and not x.dropped for x in lines):
@@ -196,25 +217,28 @@ def _nearness(a: str, b: str) -> tuple[int, int]:
     return n, m
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of each page."""
+def extract(pages: DataFrame, paired: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars of each page. paired=False leaves the pairs out, to see what they change."""
     spark = pages.sparkSession
     prepare(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     # Host, then path, as a key that sorts pages of a host together; close to what address() gives, and only the order depends on it.
     bare = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
     bare = F.regexp_replace(F.split(bare, r"[?#]", 2)[0], r"(\.html?)?/*$", "")
-    key = F.concat_ws("\t", F.lower(F.substring_index(bare, "/", 1)), bare)
-    dealt = with_neighbours(rows, key).repartition("range_").sortWithinPartitions("range_", "key_", F.asc_nulls_first("page_id"), "role_")
+    address_key = F.concat_ws("\t", F.lower(F.substring_index(bare, "/", 1)), bare)
+    key = F.struct(address_key.alias("address"), F.coalesce("page_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("html").alias("hash"))
+    blank = F.trim("html") == ""
+    dealt = with_neighbours(rows.where(~blank), key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = now = None  # (range, role, page_id, url, host, path, lines)
         made: list[tuple] = []
 
         def finish(after) -> None:
-            pairs = [(p, x) for p, x in ((1, before), (0, after)) if x is not None and x[0] == now[0] and x[4] == now[4]]
-            best = max(pairs, key=lambda x: (_nearness(now[5], x[1][5]), x[0]), default=None)
-            text = main_text(now[6], best[1][6] if best else None)
+            pairs = [(p, x) for p, x in ((1, before), (0, after)) if paired and x is not None and x[0] == now[0] and x[4] == now[4]]
+            pairs.sort(key=lambda x: (_nearness(now[5], x[1][5]), x[0]), reverse=True)
+            shared = next((places for _, x in pairs if len(places := shared_with(now[6], x[6])) < len(now[6])), set())
+            text = text_without(now[6], shared)
             made.append((now[2], now[3], text, len(text)))
 
         def flush() -> pa.RecordBatch:
@@ -235,7 +259,8 @@ def extract(pages: DataFrame) -> DataFrame:
         if made:
             yield flush()
 
-    return dealt.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    found = dealt.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return found.unionByName(rows.where(blank).select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

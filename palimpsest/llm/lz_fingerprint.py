@@ -9,8 +9,8 @@ fills: an estimate of the sets' Jaccard similarity, from 0 to 1, and 1 for equal
 of the next document. Both texts parse alike up to there, so the shared part is parsed once.
 
 The next document is the one with the next larger doc_id, after the last one the first. Rows that repeat a doc_id follow
-each other in the order of their texts; null doc_ids come first. A lone document is its own next. Null texts are empty.
-Empty tables give no rows.
+each other in the order of their texts' first 32 characters, then of a hash; null doc_ids come first. A lone document is its own next. Null texts are
+empty. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,12 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import documents_view, mixed, prepare, read_table, seeded
+from ._ranges import RANGE_ROWS, in_ranges
 
 BINS = 128
-#: Documents of one range of ids, on average, until there are as many ranges as may be.
-RANGE_ROWS = 500
-MOST_RANGES = 20_000
-
 _U = np.uint64
 _STEP = int(seeded(1, 41)[0]) | 1
 _BYTE_SALT = [int(x) >> 1 for x in seeded(256, 43)]
@@ -110,41 +107,17 @@ def fingerprint(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "fingerprint string"]))
 
 
-def in_ranges(docs: DataFrame) -> DataFrame:
-    """docs with the columns range and ahead: each range's rows (ahead 0) are next to each other in doc_id's order, and its row ahead is the first of the next range.
-
-    Ranges begin at doc_ids drawn by their hashes; only where work is cut depends on them. The begins are at most
-    ``MOST_RANGES`` numbers, looked up in a literal array by bisection.
-    """
-    spark = docs.sparkSession
-    ids = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
-    summary = ids.agg(F.count("*").alias("n"), F.min("id").alias("least")).first()
-    most = max(1, min(MOST_RANGES, summary["n"] // RANGE_ROWS))
-    drawn = ids.distinct().orderBy(F.xxhash64("id"), "id").limit(most).collect()
-    begins = sorted({r["id"] for r in drawn} | {summary["least"] if summary["least"] is not None else 0})
-    bounds = F.from_json(F.lit(str(begins)), "array<long>")
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(begins).bit_length()))))
-    own = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    # The number of begins that are not above the id.
-    place = F.aggregate(steps, F.lit(0), lambda lo, step: F.when((lo + step <= len(begins)) & (F.get(bounds, lo + step - 1) <= own), lo + step).otherwise(lo))
-    dealt = docs.withColumn("range", place - 1).withColumn("first", own == F.get(bounds, place - 1))
-    before = F.pmod(F.col("range") - 1, F.lit(len(begins)))
-    kept = F.struct(F.col("range"), F.lit(0).alias("ahead"))
-    both = F.when(F.col("first"), F.array(kept, F.struct(before.alias("range"), F.lit(1).alias("ahead")))).otherwise(F.array(kept))
-    return dealt.withColumn("spot", F.explode(both)).select(*docs.columns, "spot.range", "spot.ahead")
-
-
 def compare_neighbours(documents: DataFrame) -> DataFrame:
     """Per document: n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next; see the module's text."""
     spark = documents.sparkSession
     prepare(spark)
     docs = documents_view(documents).withColumn("text", F.coalesce("text", F.lit("")))
-    dealt = in_ranges(docs)
-    ordered = dealt.repartition("range").sortWithinPartitions("range", "ahead", F.asc_nulls_first("doc_id"), "text")
+    key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.substring("text", 1, 32).alias("head"), F.xxhash64("text").alias("hash"))
+    ordered = in_ranges(docs, key, (1,), RANGE_ROWS, around=True)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("range", "ahead", "doc_id", "text")), strict=True)
+            yield from zip(*(batch.column(c).to_pylist() for c in ("range_", "role_", "doc_id", "text")), strict=True)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held = None  # (range, doc_id, text), whose next row is awaited
