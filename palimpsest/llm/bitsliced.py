@@ -1,14 +1,15 @@
 """Exact top-k by inner product with a bit-sliced index.
 
-Vectors become whole numbers, floor(1024 * x). The index holds blocks of ``BLOCK_ROWS`` vectors; each attribute of a block is
+Vectors become whole numbers, floor(1024 * x). The index holds blocks of vectors; each attribute of a block is
 quantised to ``LEVEL_BITS`` bits and kept as bit slices: bitmaps over the block's rows. A query's quantised coefficients
 multiply slices by adding shifted bitmaps, ripple carry by ripple carry, into the slices of an approximate score. From its
 most significant slice downward the rows are narrowed to those that can be among the block's top k: the k-th largest
 approximate score is found bit by bit, and all rows stay whose score is at most twice the quantisation's error bound below it.
 These boundary rows are scored exactly, in whole numbers, and the blocks' winners are merged. The result is exact.
 
-Queries and index blocks meet in cells of bounded size: a block of queries and a block of the index. Each block of one side
-is sent once to each block of the other, as in a blocked matrix product; nothing is broadcast or gathered.
+Each block's index is built once, by the task that holds the block, and all queries stream past it: a query goes once to each
+block, and no task holds more than a block and a batch of queries; nothing is broadcast or gathered. Blocks are as large as
+they can be while every core has one, from ``LEAST_ROWS`` up to ``BLOCK_ROWS`` vectors or ``BLOCK_BYTES``.
 
 Ties go to the smaller vec_id, and a query's own row is no candidate. Vectors that are null, or hold null, NaN or infinite
 components, take no part, nor do rows whose vec_id is null. Vectors of another length than the query's are no candidates of
@@ -31,7 +32,7 @@ K = 10
 SCALE = 1024
 LEVEL_BITS = 8
 QUERY_BITS = 8
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 256
+LEAST_ROWS, BLOCK_ROWS, BLOCK_BYTES = 8192, 65_536, 64 << 20
 #: Scaled components and vector lengths up to here cannot make a score that exceeds a long.
 MOST_SCORE = 1 << 62
 
@@ -168,37 +169,46 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     spark = vectors.sparkSession
     prepare(spark)
     sizes = {r["dim"]: r["n"] for r in vectors.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    asked = {r["dim"]: r["n"] for r in queries.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     schema = "query_id long, vec_id long, score long"
     found = None
-    for dim in sorted(set(sizes) & set(asked)):
-        cells = _cells(vectors.where(F.col("dim") == dim), queries.where(F.col("dim") == dim), dim, -(-sizes[dim] // BLOCK_ROWS), -(-asked[dim] // BLOCK_QUERIES), k, schema)
-        found = cells if found is None else found.unionByName(cells)
+    for dim in sorted(sizes):
+        rows = min(BLOCK_ROWS, max(1, BLOCK_BYTES // (8 * dim)), max(LEAST_ROWS, -(-sizes[dim] // spark.sparkContext.defaultParallelism)))
+        best = _best(vectors.where(F.col("dim") == dim), queries.where(F.col("dim") == dim), dim, -(-sizes[dim] // rows), k, schema)
+        found = best if found is None else found.unionByName(best)
     if found is None:
         found = spark.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _cells(vectors: DataFrame, queries: DataFrame, dim: int, blocks: int, asked: int, k: int, schema: str) -> DataFrame:
-    """Each cell's winners: rows of one block of the index go with queries of one block."""
-    # Both sides' keys must be of one type: a cogroup doesn't coerce them, and a long is dealt elsewhere than an int.
-    own = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
-    of = queries.withColumn("asked", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(asked)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
-        if left.num_rows and right.num_rows:
-            left = left.sort_by("vec_id").combine_chunks()
-            right = right.combine_chunks()
-            block = Block(left.column("vec_id").to_numpy(), _matrix(left.column("v").combine_chunks(), dim))
-            ids, asking = right.column("vec_id").to_numpy(), _matrix(right.column("v").combine_chunks(), dim)
-            for i in range(len(ids)):
-                out += [(int(ids[i]), v, s) for s, v in block.top(int(ids[i]), asking[i], k)]
-        columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["query_id", "vec_id", "score"])
-
-    return own.select("block", "asked", "vec_id", "v").groupBy("block", "asked").cogroup(of.select("block", "asked", "vec_id", "v").groupBy("block", "asked")).applyInArrow(cell, schema)
+def _best(vectors: DataFrame, queries: DataFrame, dim: int, blocks: int, k: int, schema: str) -> DataFrame:
+    """Each block's k best rows for each query: a partition holds one block's vectors, and after them all queries."""
+    own = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("role"), "vec_id", "v")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("role"), "vec_id", "v")
+    dealt = own.unionByName(asked).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "role", "vec_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, ids, parts, block = None, [], [], None
+        for batch in batches:
+            of, role = batch.column("block").to_numpy(), batch.column("role").to_numpy()
+            vec_id, v = batch.column("vec_id").to_numpy(), _matrix(batch.column("v"), dim)
+            out: list[tuple[int, int, int]] = []
+            for own in np.unique(of):
+                if own != number:
+                    number, ids, parts, block = own, [], [], None
+                rows = np.flatnonzero((of == own) & (role == 0))  # these come before any query
+                if len(rows):
+                    ids.append(vec_id[rows])
+                    parts.append(v[rows])
+                asked = np.flatnonzero((of == own) & (role == 1))
+                if len(asked) and block is None and ids:
+                    block, ids, parts = Block(np.concatenate(ids), np.concatenate(parts)), [], []
+                if block is not None:
+                    out += [(int(vec_id[i]), found, score) for i in asked for score, found in block.top(int(vec_id[i]), v[i], k)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+
+    return dealt.mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -208,8 +218,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH whole AS (
-  SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, min([CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT) FOR x IN embedding]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
   FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),

@@ -25,10 +25,9 @@ def found(spark, rows, **sizes):
     return sorted(map(tuple, B.top_k(vectors, vectors.where("vec_id % 3 = 0")).select("query_id", "rank", "vec_id", "score").collect()))
 
 
-@pytest.mark.parametrize("blocks", [(8192, 256), (16, 5)])
-def test_exact(spark, monkeypatch, blocks):
-    monkeypatch.setattr(B, "BLOCK_ROWS", blocks[0])
-    monkeypatch.setattr(B, "BLOCK_QUERIES", blocks[1])
+@pytest.mark.parametrize("rows_a_block", [65_536, 16, 1])
+def test_exact(spark, monkeypatch, rows_a_block):
+    monkeypatch.setattr(B, "BLOCK_ROWS", rows_a_block)
     monkeypatch.setattr(B, "prepare", lambda s: (s.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false"), s.conf.set("spark.sql.shuffle.partitions", "13")))
     draw = np.random.default_rng(7)
     rows = [(int(i), [float(np.float32(c)) for c in draw.normal(size=6)], 0, 1, 1) for i in draw.permutation(90)]
@@ -66,3 +65,28 @@ def test_slices_add_and_compare():
         assert kth == ordered[k - 1]
         rows = np.flatnonzero(np.unpackbits(B.at_least(total, kth, among).view(np.uint8), bitorder="little"))
         assert set(rows) == set(np.flatnonzero(a + 8 * b >= kth))
+
+
+def test_large_blocks_take_few_exact_scores():
+    """The slices leave few boundary rows, all that belong to the best, whatever vectors are common."""
+    draw = np.random.default_rng(5)
+    vectors = draw.integers(-1024, 1024, (3000, 16))
+    vectors[::3] = vectors[0]
+    block = B.Block(np.arange(3000), vectors)
+    for q in range(1, 3000, 251):
+        scores = vectors @ vectors[q]
+        want = sorted((-int(s), i) for i, s in enumerate(scores.tolist()) if i != q)[: B.K]
+        assert [(-s, i) for s, i in block.top(q, vectors[q], B.K)] == want
+    assert np.mean([len(block.candidates(vectors[q], B.K + 1)) for q in range(1, 3000, 251)]) < 1500
+
+
+def test_oracle_takes_one_row_of_each_id(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(0, [1.0, 0.5]), (0, [0.5, 0.25]), (1, [2.0, 2.0]), (1, [-1.0, 3.0]), (100, [0.0, 1.0]), (None, [1.0, 1.0]), (2, [1.0, None])]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    c.executemany("INSERT INTO embeddings VALUES (?, ?)", [list(r) for r in rows])
+    want = sorted(c.execute(B.ORACLE).fetchall())
+    vectors = B.whole_vectors(spark.createDataFrame([(i, x, 0, 0, 0) for i, x in rows], SCHEMA))
+    out = B.top_k(vectors, vectors.where("vec_id % 100 = 0")).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, out)) == want
