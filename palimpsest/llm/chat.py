@@ -3,7 +3,8 @@
 ``format_turns`` turns each row of a conversation (conv_id, turn, role, text) into segments of the training text: what the
 template puts around the text, without loss, and the text, with loss for the template's roles that are learned. The machine
 starts in ``START`` and moves by role; a row whose move is missing is kept, and from it on the conversation's rows say that
-their order isn't valid. Both need just the rows before, so a conversation streams through its task row by row, however long.
+their order isn't valid. Both need just the rows before, so a conversation streams through its task row by row, however long; it is
+the one thing that isn't split, as its turns depend on those before.
 
 Control characters of the template inside texts get an escape before them and so can't be taken for marks; reading back
 removes it. ``read_back`` parses the concatenated segments of a conversation by the template alone.
@@ -89,8 +90,12 @@ class _Reading:
         self.conv_id, self.template, self.pattern = conv_id, template, pattern
         self.text, self.turns, self.chars, self.loss_chars, self.valid = "", 0, 0, 0, True
         self.turns_hash, self.loss_hash = hashlib.sha256(), hashlib.sha256()
+        self.next = (0, 0)
 
-    def add(self, segment: str, loss: bool, valid: bool) -> None:
+    def add(self, conv_id, place: int, part: int, segment: str, loss: bool, valid: bool) -> None:
+        if conv_id != self.conv_id or (place, part) != self.next:
+            raise ValueError(f"conversation {self.conv_id}: segments don't come in their order; read_back(..., ordered=False) sorts them")
+        self.next = (place, part + 1) if part < 2 else (place + 1, 0)
         self.valid &= valid
         self.chars += len(segment)
         if loss:
@@ -110,8 +115,13 @@ class _Reading:
         return self.conv_id, self.turns, self.turns_hash.hexdigest(), self.loss_chars, self.loss_hash.hexdigest(), self.chars, self.valid
 
 
-def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame:
-    """Per conversation the digests of its turns and of its text under loss, from segments in the order that ``format_turns`` gives."""
+def read_back(segments: DataFrame, template: Template = Template(), ordered: bool = True) -> DataFrame:
+    """Per conversation the digests of its turns and of its text under loss, from its segments.
+
+    ordered: they come straight from ``format_turns``, whose order is checked; otherwise, as after they were stored, they are sorted first.
+    """
+    if not ordered:
+        segments = segments.repartition("conv_id").sortWithinPartitions(F.asc_nulls_first("conv_id"), "place", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern, reading, done = template.pattern(), None, []
@@ -126,7 +136,9 @@ def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame
                     if reading is not None:
                         done.append(reading.result())
                     reading = _Reading(conv_id, template, pattern)
-                reading.add(segment, loss, valid)
+                elif reading is None:
+                    raise ValueError(f"conversation {conv_id} doesn't begin with its first segment; read_back(..., ordered=False) sorts them")
+                reading.add(conv_id, place, part, segment, loss, valid)
             if len(done) >= 256:
                 yield flush()
                 done = []

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from palimpsest.llm import chat as C
 
 SCHEMA = "conv_id long, turn long, role string, text string, segment string, valid int"
@@ -44,3 +45,14 @@ def test_other_templates_and_nothing(spark):
     (r,) = C.read_back(C.format_turns(spark.createDataFrame([(*r, "", 0) for r in rows], SCHEMA), t), t).collect()
     assert (r.n_turns, r.turns_sha256) == want(rows)[1][:2] and r.loss_chars == len(rows[0][3])
     assert C.read_back(C.format_turns(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_stored_segments_are_sorted_or_refused(spark, tmp_path):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"text {c} {t}") for c in range(30) for t in range(6)] + [(None, 0, "user", "x")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = sorted(map(tuple, C.read_back(C.format_turns(table)).collect()), key=repr)
+    C.format_turns(table).repartition(5, "segment").write.parquet(str(tmp_path / "segments"))
+    stored = spark.read.parquet(str(tmp_path / "segments"))
+    assert sorted(map(tuple, C.read_back(stored, ordered=False).collect()), key=repr) == want
+    with pytest.raises(Exception, match="ordered=False"):
+        C.read_back(stored).collect()
