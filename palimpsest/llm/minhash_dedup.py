@@ -46,8 +46,8 @@ WORDS, SMALL = 16, 512
 MISSED = 5e-8
 #: Members that share one copy of their leader's set when sets are compared.
 SALTED = 256
-#: Edges of one partition where edges are few and steps many.
-EDGES_A_TASK = 500_000
+#: Edges, fingerprints, and sets of one partition where tables are stored between steps.
+EDGES_A_TASK, PRINTS_A_TASK, SETS_A_TASK = 500_000, 100_000, 20_000
 
 _U = np.uint64
 _PLACE = seeded(max(SHINGLE, ROWS), 17) | _U(1)
@@ -201,7 +201,12 @@ def _side(df: DataFrame, x: str, *keep) -> DataFrame:
 
 def _few(edges: DataFrame, n: int) -> DataFrame:
     """``edges``, some n rows, stored in as few partitions as they need."""
-    return stored(edges.coalesce(8 + n // EDGES_A_TASK))
+    return stored(edges.coalesce(2 + n // EDGES_A_TASK))
+
+
+def _packed(df: DataFrame, rows: int, a_task: int = EDGES_A_TASK) -> DataFrame:
+    """``df``, of at most so many rows, stored in a file for each core, or for every ``a_task`` rows: not in a small one for each shuffle partition."""
+    return stored(df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // a_task))))
 
 
 def star_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -234,19 +239,21 @@ def star_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return out
 
 
-def _confirmed(likely: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of the distinct pairs (a, b, n_a, n_b), those whose full sets are linked."""
-    likely = stored(likely)
+def _confirmed(likely: DataFrame, docs: DataFrame, percent: int, most: int) -> DataFrame:
+    """Of the distinct pairs (a, b, n_a, n_b), about ``most`` or less, those whose full sets are linked."""
+    likely = _packed(likely, most)
+    n = likely.count()
     wanted = likely.select(F.col("a").alias("doc_id")).distinct().unionByName(likely.select(F.col("b").alias("doc_id")).distinct()).distinct()
     sets = map_texts(docs.join(wanted, "doc_id", "left_semi"), _sets, "doc_id long, set array<long>")
-    sets = stored(sets.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("set")))
+    sets = _packed(sets.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("set")), 2 * n, SETS_A_TASK)
     # The side with more partners is b; its set goes to as many salts as its partners fill.
-    salts = stored(likely.groupBy("b").agg(F.floor(F.count("*") / SALTED).cast("int").alias("salts")))
+    salts = _few(likely.groupBy("b").agg(F.floor(F.count("*") / SALTED).cast("int").alias("salts")), n)
     left = likely.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts") + 1).cast("int"))
     left = left.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
     right = salts.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b").select("b", "set_b", F.explode(F.sequence(F.lit(0), "salts")).alias("salt"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    out = stored(left.join(right, ["b", "salt"]).withColumn("shared", shared).where(f"100L * shared >= {percent}L * (n_a + n_b - shared)").select("a", "b"))
+    linked = left.join(right, ["b", "salt"]).withColumn("shared", shared).where(f"100L * shared >= {percent}L * (n_a + n_b - shared)")
+    out = _packed(linked.select("a", "b"), 2 * n, SETS_A_TASK)
     drop_stored(likely, sets, salts)
     return out
 
@@ -261,24 +268,26 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         once, prints = prints, stored(_united(docs, bands))
         drop_stored(once)
     full = prints.where("n_shingles > 0")
-    classes = stored(full.groupBy("sum_a", "sum_b", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    classed = stored(full.join(classes, ["sum_a", "sum_b", "n_shingles"]).withColumn("bands", F.when(F.col("doc_id") == F.col("rep"), F.col("bands"))).drop("sum_a", "sum_b"))
+    n = prints.count()
+    classes = _packed(full.groupBy("sum_a", "sum_b", "n_shingles").agg(F.min("doc_id").alias("rep")), n)
+    classed = _packed(full.join(classes, ["sum_a", "sum_b", "n_shingles"]).withColumn("bands", F.when(F.col("doc_id") == F.col("rep"), F.col("bands"))).drop("sum_a", "sum_b"), n, PRINTS_A_TASK)
     reps = classed.where("doc_id = rep")
     members = reps.select(F.posexplode("bands").alias("k", "band"), F.col("doc_id").alias("a"))
     leaders = members.groupBy("band").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b")
-    buckets = stored(members.join(leaders, "band"))
-    pairs = stored(buckets.where("a > b").select("a", "b").distinct())
+    buckets = _packed(members.join(leaders, "band"), n * bands, 2 * EDGES_A_TASK)
+    in_buckets = buckets.count()
+    pairs = _packed(buckets.where("a > b").select("a", "b").distinct(), in_buckets, 2 * EDGES_A_TASK)
     likely = pairs.join(_side(reps, "a"), "a").join(_side(reps, "b"), "b").where(_may_link("a", "b", percent)).select("a", "b", "n_a", "n_b")
-    edges = _confirmed(likely, docs, percent)
+    edges = _confirmed(likely, docs, percent, in_buckets)
     components = star_components(edges)
     own = components.select(F.col("node").alias("a"), F.col("component").alias("own_a"))
     of_leader = components.select(F.col("node").alias("b"), F.col("component").alias("own_b"))
     known = buckets.join(own, "a", "left").join(of_leader, "b", "left").withColumn("own", F.coalesce("own_a", "a"))
-    met = stored(known.select("k", "band", "a", "b", "own", (F.col("own") != F.coalesce("own_b", "b")).alias("odd")))
+    met = _packed(known.select("k", "band", "a", "b", "own", (F.col("own") != F.coalesce("own_b", "b")).alias("odd")), in_buckets, 2 * EDGES_A_TASK)
     # An odd member and its leader have met already; a bucket that has no third member is done with.
     open_bands = met.groupBy("band").agg(F.count("*").alias("n"), F.max("odd").alias("any_odd")).where("n > 2 and any_odd").select("band")
     short = F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands")
-    known = stored(met.join(open_bands, "band", "left_semi").join(_side(reps, "a", short), "a"))
+    known = _packed(met.join(open_bands, "band", "left_semi").join(_side(reps, "a", short), "a"), in_buckets, PRINTS_A_TASK)
     drop_stored(met)
     others = known.select("band", *(F.col(c).alias(c[:-1] + "b" if c == "a" or c.endswith("_a") else c + "_2") for c in known.columns if c not in ("band", "k", "b")))
     # Of two odd members each pair comes once, an odd and another member meet once as well; of all buckets that a pair
@@ -291,7 +300,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     swap = F.col("a") < F.col("b")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     rest = rest.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b")).distinct()
-    found = _confirmed(rest.join(pairs, ["a", "b"], "left_anti"), docs, percent)
+    found = _confirmed(rest.join(pairs, ["a", "b"], "left_anti"), docs, percent, in_buckets)
     drop_stored(buckets, pairs, known)
     if found.limit(1).count():
         first, components = components, star_components(edges.unionByName(found))
