@@ -45,19 +45,22 @@ class KeyStore:
         return self._spark.range(1).select(expression.alias("x")).first()["x"]
 
     def key(self, table: str) -> bytes:
-        """The table's data key, made at first use."""
+        """The table's data key."""
         if table not in self._plain:
-            master, aad = F.lit(self._master), F.lit(table.encode())
             if table not in self.wrapped:
-                self._plain[table] = secrets.token_bytes(32)
-                self.wrapped[table] = self._run(encrypt(F.lit(base64.b64encode(self._plain[table]).decode()), master, aad))
-            else:
-                try:
-                    self._plain[table] = base64.b64decode(self._run(decrypt(F.lit(self.wrapped[table]), master, aad)))
-                except Exception as e:
-                    raise DecryptionError(f"the key of {table} doesn't open with this master key") from e
+                raise DecryptionError(f"{table} has no key")
+            try:
+                self._plain[table] = base64.b64decode(self._run(decrypt(F.lit(self.wrapped[table]), F.lit(self._master), F.lit(table.encode()))))
+            except Exception as e:
+                raise DecryptionError(f"the key of {table} doesn't open with this master key") from e
         return self._plain[table]
 
+    def make(self, table: str) -> None:
+        """Makes the table's data key, unless it has one."""
+        if table not in self.wrapped:
+            self._plain[table] = secrets.token_bytes(32)
+            self.wrapped[table] = self._run(encrypt(F.lit(base64.b64encode(self._plain[table]).decode()), F.lit(self._master), F.lit(table.encode())))
+
     def merge(self, wrapped: dict[str, str]) -> None:
         """Takes the keys that another driver has added."""
         for table, key in wrapped.items():

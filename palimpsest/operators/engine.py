@@ -124,6 +124,8 @@ class Engine:
         version, text = self.log.store.newest("catalog")
         if version > self._catalog_version:
             self.catalog, self._catalog_version = Catalog.from_json(text, self.catalog.encrypt), version
+            if isinstance(self.cipher, KeyStore):
+                self.cipher.merge(json.loads(self.log.store.newest("keys")[1] or "{}"))
 
     def create_table(self, name: str, indexes: list[Index], log: str | None = None) -> Table:
         """Declares a table; ``log``: its folder in the log, which tables may share a name prefix of but not use together."""
@@ -149,7 +151,7 @@ class Engine:
             version, text = self.log.store.newest("keys")
             self.cipher.merge(json.loads(text or "{}"))
             for table in new:
-                self.cipher.key(table)
+                self.cipher.make(table)
             if self.log.store.succeed("keys", version, self.cipher.wrapped):
                 return
 

@@ -302,3 +302,146 @@ def test_the_log_as_a_stream(engine, tmp_path):
 def test_keys_sort_by_time():
     a = [generate_key() for _ in range(3)]
     assert len(set(a)) == 3 and all(k[14] == "7" and k[19] in "89ab" for k in a)
+
+
+def late_commit(engine, between, table="notes", key=50):
+    """Another driver claims a number; ``between`` runs before it publishes."""
+    other = Engine(engine.spark, engine.log.store.root)
+    return other.commit({table: other.rows(table, [("UPSERT", {"id": key}, doc(id=key))])}, check=lambda staged: between())
+
+
+@pytest.mark.parametrize("rewrite", [lambda e: maintenance.vacuum(e, "notes"), lambda e: maintenance.compact(e, "notes"), lambda e: (maintenance.checkpoint(e), maintenance.archive(e))])
+def test_commits_that_are_published_late_stay(engine, rewrite):
+    engine.put("notes", "id", 1, doc(id=1, v=1))
+    late = late_commit(engine, lambda: (engine.put("notes", "id", 1, doc(id=1, v=2)), rewrite(engine), maintenance.truncate(engine)))
+    again = Engine(engine.spark, engine.log.store.root)
+    assert late.lsn < again.log.snapshot().lsn
+    for e in (engine, again):
+        assert docs(e.scan("notes", "id")) == [doc(id=1, v=2), doc(id=50)]
+    maintenance.vacuum(again, "notes"), maintenance.compact(again, "notes"), maintenance.truncate(again)
+    assert docs(Engine(engine.spark, engine.log.store.root).scan("notes", "id")) == [doc(id=1, v=2), doc(id=50)]
+
+
+def test_checkpoints_name_what_they_hold(engine):
+    engine.put("notes", "id", 1, doc(id=1))
+    late_commit(engine, lambda: (engine.put("notes", "id", 2, doc(id=2)), maintenance.checkpoint(engine)))
+    rows = maintenance.replayed(engine, "notes").collect()
+    assert sorted(r["k_id"] for r in rows) == [1, 2, 50] and maintenance.last_checkpoint(engine) == 3
+    assert sorted(r["k_id"] for r in maintenance.checkpointed(engine, "notes").collect()) == [1, 2]
+
+
+def test_numbers_go_on_after_truncation(engine):
+    for k in range(4):
+        engine.put("notes", "id", k, doc(id=k))
+    other = Engine(engine.spark, engine.log.store.root)
+    assert other.log.last_lsn() == 4 and maintenance.truncate(engine) == 4 and engine.log.store.names("claims") == []
+    assert other.put("notes", "id", 9, doc(id=9)).lsn == 5 and engine.put("notes", "id", 10, doc(id=10)).lsn == 6
+    assert len(docs(other.scan("notes", "id"))) == len(docs(engine.scan("notes", "id"))) == 6
+    assert maintenance.truncate(other) == 6 and engine.log.store.names("summary") == [f"{6:020d}.json"]
+
+
+def test_two_drivers_share_catalog_and_keys(spark, tmp_path):
+    root, key = str(tmp_path / "db"), bytes(range(32))
+    one, two = Engine(spark, root, key), Engine(spark, root, key)
+    one.create_table("a", [ID]), two.create_table("b", [ID])
+    with pytest.raises(X.TableAlreadyExists):
+        two.create_table("a", [ID])
+    one.put("b", "id", 1, doc(id=1))
+    assert Engine(spark, root, key).catalog.list_tables() == ["a", "b"] and two.get("b", "id", 1) == doc(id=1)
+
+
+def test_readers_of_other_drivers_hold_files_back(engine):
+    engine.put("notes", "id", 1, doc(id=1, v=1))
+    other = Engine(engine.spark, engine.log.store.root)
+    reader = other.begin_read()
+    engine.put("notes", "id", 1, doc(id=1, v=2))
+    assert engine.min_active_lsn() == 1 and maintenance.vacuum(engine, "notes") == 0
+    maintenance.compact(engine, "notes")
+    assert reader.get("notes", "id", 1) == doc(id=1, v=1) and maintenance.drop_replaced(engine, "notes") == []
+    reader.close()
+    assert len(maintenance.drop_replaced(engine, "notes")) == 2 and engine.get("notes", "id", 1) == doc(id=1, v=2)
+
+
+def test_recovery_undoes_once_and_shuts_lost_writers_out(engine):
+    engine.upsert("users", batch(engine, doc(id=1, email="a"), doc(id=2, email="b")))
+    other = Engine(engine.spark, engine.log.store.root)
+    seen = []
+
+    def die(staged):
+        seen.append(engine.recover())
+        assert engine.recover(3600) == []
+
+    rows = other.rows("users", [("UPSERT", {"id": k, "email": "x"}, doc(id=k, email="x")) for k in (1, 2, 3)])
+    with pytest.raises(X.CommitAborted):
+        other.commit({"users": rows}, check=die)
+    assert seen == [[2]] and engine.recover() == []
+    undone = {(r.key, r.doc) for r in engine.wal().where("type = 'CLR'").collect()}
+    assert undone == {('{"id":1}', doc(id=1, email="a")), ('{"id":2}', doc(id=2, email="b")), ('{"id":3}', None)}
+    assert docs(engine.scan("users", "id")) == [doc(id=1, email="a"), doc(id=2, email="b")]
+
+
+def test_replaced_versions_dont_decrypt_as_newer_ones(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"), bytes(range(32)))
+    e.create_table("users", [ID])
+    e.put("users", "id", 1, doc(id=1, v="old")), e.put("users", "id", 1, doc(id=1, v="new"))
+    old = e.versions("users").where("_lsn = 1").first()["_doc"]
+    t = e.table_of("users")
+    lsn = e.log.claim()
+    from pyspark.sql import functions as F
+
+    forged = e.versions("users").where("_lsn = 2").withColumns({"_doc": F.lit(old), "_lsn": F.lit(lsn)})
+    forged.withColumn("_sum", t.checksum()).write.parquet(e.log.store.url(f"log/users/{lsn:020d}-f"))
+    e.log.publish(e.log.snapshot().commits[0].__class__(lsn, "DATA", None, (("users", f"log/users/{lsn:020d}-f"),)))
+    with pytest.raises(Exception, match="(?i)tag|decrypt|AES"):
+        e.get("users", "id", 1)
+
+
+def test_closed_engines_and_stores_without_exclusive_creation(spark, engine):
+    reader = engine.begin_read()
+    engine.close(), engine.close()
+    assert not engine.log.leased() and reader not in engine.active
+    for action in (lambda: engine.scan("notes", "id"), engine.begin_read, lambda: engine.put("notes", "id", 1, doc(id=1))):
+        with pytest.raises(X.EngineClosed):
+            action()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.blob.impl", "org.apache.hadoop.fs.http.HttpsFileSystem")
+    with pytest.raises(Exception, match="exclusive|alone|UnsupportedStore"):
+        Engine(spark, "blob://host/db")
+
+
+def test_filters_over_several_keys(engine):
+    engine.upsert("users", batch(engine, *(doc(id=k, email=f"{'ab'[k % 2]}@{k}") for k in range(10))))
+    keep = P.like("email", "a@%") & ~P.one_of("id", 2, 4) | P.where("id", P.equal(9))
+    assert [r["id"] for r in engine.where("users", keep).collect()] == [0, 6, 8, 9]
+    narrow = engine.where("users", P.where("id", P.between(3, 5)) & ~P.is_null("email"), columns=["email"])
+    assert narrow.columns == ["email"] and narrow.count() == 3
+    assert "_doc" not in narrow._jdf.queryExecution().executedPlan().toString()
+    for bad, error in ((P.where("id", P.equal("1")), X.InvalidKeyType), (P.where("nope", P.equal(1)), X.IndexNotFound), (P.like("id", "1%"), X.InvalidKeyType)):
+        with pytest.raises(error):
+            engine.where("users", bad)
+
+
+def test_many_puts_of_a_transaction_are_one_commit(engine):
+    tx = engine.begin_write()
+    for k in range(300):
+        tx.put("notes", "id", k, doc(id=k, v=0))
+        tx.put("notes", "id", k, doc(id=k, v=1))
+    assert tx.get("notes", "id", 7) == doc(id=7, v=1)
+    commit = tx.commit()
+    assert engine.versions("notes").count() == 300 and commit.lsn == 1
+
+
+def test_rows_written_one_by_one_are_checked_as_batches_are(spark, tmp_path):
+    """The driver's reading of a document agrees with the executors', for every key type."""
+    e = Engine(spark, str(tmp_path / "db"))
+    e.create_table("t", [ID, Index("f", DataType.FLOAT), Index("b", DataType.BOOL), Index("d", DataType.DATE), Index("s", DataType.VARCHAR)])
+    values = {"id": ["1", "-5", "1.0", '"1"', "null", "true", "9223372036854775807", "9223372036854775808"], "f": ["1.5", "1", "-0.0", "1e3", '"x"', "99999999999999999999"], "b": ["true", "false", "0", "null"], "d": ['"2024-01-02"', '"2024-01-02T03:04:05"', '"2024-01-02T03:04:05Z"', '"nope"', "5"], "s": ['"a"', '""', "1"]}
+    good = {"id": "1", "f": "1.5", "b": "true", "d": '"2024-01-02"', "s": '"a"'}
+    given = ["{" + ", ".join(f'"{k}": {v if k == name else good[k]}' for k in good) + "}" for name, own in values.items() for v in own] + ['{"id": 1, "id": 2}', "[1]", "", "{", '{"id": 1}']
+    rows = e.prepared("t", spark.createDataFrame([(k, d) for k, d in enumerate(given)], "_seq long, _doc string")).orderBy("_seq").collect()
+    for text, r in zip(given, rows, strict=True):
+        try:
+            keys = e.row("t", text)
+        except X.InvalidKeyType:
+            assert r["_problem"], text
+        else:
+            assert r["_problem"] is None and {k: r[f"k_{k}"] for k in good} == keys, text
