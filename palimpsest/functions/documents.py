@@ -112,3 +112,16 @@ def entry_to_json(table: Column, index: Column, keys: Column, doc: Column) -> Co
 
 def entry_from_json(text: Column) -> Column:
     return F.from_json(text, ENTRY_SCHEMA)
+
+
+COMPENSATION_SCHEMA = "tx_id bigint, undone_lsn bigint, undone_seq bigint, undo_next_lsn bigint, table string, key string, restored boolean, doc string"
+
+
+def compensation_to_json(**fields: Column) -> Column:
+    """A compensation as a portable string: what was undone, where undo goes on, and the row as it was before (nulls are left out)."""
+    names = [f.split()[0] for f in COMPENSATION_SCHEMA.split(", ")]
+    return F.to_json(F.struct(*(fields[n].alias(n) for n in names if n in fields)))
+
+
+def compensation_from_json(text: Column) -> Column:
+    return F.from_json(text, COMPENSATION_SCHEMA)

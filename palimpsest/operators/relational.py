@@ -14,10 +14,15 @@ def joined(left: DataFrame, right: DataFrame, on: Column | str | list[str], how:
     return left.join(right.hint(hint) if hint else right, on, how)
 
 
-def grouped(df: DataFrame, by: list[str], **aggregates: tuple[str, str]) -> DataFrame:
-    """GROUP BY with named aggregates: ``total=("sum", "price")``; functions count, sum, avg, min, max, count_distinct."""
+def combined(operation: str, left: DataFrame, right: DataFrame) -> DataFrame:
+    """UNION, INTERSECT and EXCEPT of rows without repeats, ``union all`` with them."""
+    return {"union": lambda: left.union(right).distinct(), "union all": lambda: left.union(right), "intersect": lambda: left.intersect(right), "except": lambda: left.subtract(right)}[operation]()
+
+
+def grouped(df: DataFrame, by: list[str], sets: str = "groupBy", **aggregates: tuple[str, str]) -> DataFrame:
+    """GROUP BY with named aggregates: ``total=("sum", "price")``; functions count, sum, avg, min, max, count_distinct. sets: groupBy, rollup or cube."""
     functions = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count_distinct": F.count_distinct}
-    return df.groupBy(*by).agg(*(functions[f](F.col(c) if c != "*" else F.lit(1)).alias(name) for name, (f, c) in aggregates.items()))
+    return getattr(df, sets)(*by).agg(*(functions[f](F.col(c) if c != "*" else F.lit(1)).alias(name) for name, (f, c) in aggregates.items()))
 
 
 def page(df: DataFrame, order: list[Column | str], limit: int, offset: int = 0) -> DataFrame:

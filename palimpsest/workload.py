@@ -18,7 +18,7 @@ from .functions import documents as D
 from .functions import predicates as P
 from .functions.crypto import decrypt, encrypt
 from .operators.locks import deadlocked, victims
-from .operators.relational import grouped, joined, page
+from .operators.relational import combined, grouped, joined, page
 from .plans import recovery as R
 from .plans import versions as V
 from .types import DataType
@@ -418,6 +418,14 @@ def _(spark, d):
     return rows.select("event_id", "e.table", "e.index", D.key_from_struct(F.col("e.keys")["id"], DataType.INT).alias("key"), "e.document")
 
 
+@query("json_compensation", """SELECT event_id // 10 AS tx_id, event_id AS undone_lsn, event_id % 10 AS undone_seq, greatest(event_id - 1, 0) AS undo_next_lsn, 'users' AS table,
+'{"id":' || user_id || '}' AS key, event_type <> 'error' AS restored, CASE WHEN event_type <> 'error' THEN props END AS doc FROM events""")
+def _(spark, d):
+    lsn, kept = F.col("event_id"), F.col("event_type") != "error"
+    text = D.compensation_to_json(tx_id=F.floor(lsn / 10), undone_lsn=lsn, undone_seq=lsn % 10, undo_next_lsn=F.greatest(lsn - 1, F.lit(0)), table=F.lit("users"), key=F.to_json(F.struct(F.col("user_id").alias("id"))), restored=kept, doc=F.when(kept, F.col("props")))
+    return table(spark, d, "events").select(D.compensation_from_json(text).alias("c")).select("c.*")
+
+
 @query("json_keys_all_types", "SELECT o_orderkey, o_totalprice, o_orderpriority, o_orderdate, (o_orderstatus = 'F') AS o_finished FROM orders")
 def _(spark, d):
     kinds = {"o_orderkey": DataType.INT, "o_totalprice": DataType.FLOAT, "o_orderpriority": DataType.VARCHAR, "o_orderdate": DataType.DATE, "o_finished": DataType.BOOL}
@@ -487,6 +495,30 @@ def _(spark, d):
     return page(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 20, 5)
 
 
+@query("rel_set_operations", """SELECT 'union' AS operation, count(*) AS n FROM (SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders)
+UNION ALL SELECT 'intersect', count(*) FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders)
+UNION ALL SELECT 'except', count(*) FROM (SELECT o_orderkey FROM orders EXCEPT SELECT c_custkey FROM customer)""")
+def _(spark, d):
+    customers, orders = table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders")
+    buyers = orders.select(F.col("o_custkey").alias("k"))
+    made = {"union": combined("union", customers, buyers), "intersect": combined("intersect", customers, buyers), "except": combined("except", orders.select(F.col("o_orderkey").alias("k")), customers)}
+    out = None
+    for name, df in made.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("operation"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("rel_rollup", "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)")
+def _(spark, d):
+    return grouped(table(spark, d, "orders"), ["o_orderpriority", "o_orderstatus"], sets="rollup", n=("count", "*"))
+
+
+@query("rel_cube", "SELECT o_orderpriority, o_orderstatus, max(o_totalprice) AS most FROM orders GROUP BY CUBE (o_orderpriority, o_orderstatus)")
+def _(spark, d):
+    return grouped(table(spark, d, "orders"), ["o_orderpriority", "o_orderstatus"], sets="cube", most=("max", "o_totalprice"))
+
+
 @query("rel_sql_view", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey")
 def _(spark, d):
     table(spark, d, "customer").createOrReplaceTempView("customer_rows")
