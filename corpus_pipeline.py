@@ -18,8 +18,10 @@ NEAR_PERCENT = 80
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier doesn't reject; it is fitted on labelled rows of docs outside the held-out ones."""
+    """Documents that the toxicity classifier doesn't reject; it is fitted on labelled rows of docs outside the held-out ones. Without any, none is rejected."""
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    if not toxicity.fitted(model):
+        return docs
     score, predicted = free_names(docs.columns, "score", "predicted")
     return toxicity.scored(docs, model, *docs.columns, score=score, predicted=predicted).where(F.col(predicted) == 0).select(*docs.columns)
 

@@ -111,6 +111,12 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mo
     return found.feature.to_numpy(np.int32), found.weight.to_numpy(np.float32), bias, share
 
 
+def fitted(model: Model) -> bool:
+    """Whether there were labels to learn from."""
+    used, _, bias, share = model
+    return bool(len(used)) or bias != 0 or share != 0.5
+
+
 def scored(documents: DataFrame, model: Model, *keep: str, score: str = "score", predicted: str = "predicted") -> DataFrame:
     """The columns ``keep`` of each document, score (the probability that its text is toxic) and predicted, under other names if these are given."""
     prepare(documents.sparkSession)

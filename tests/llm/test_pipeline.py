@@ -76,3 +76,29 @@ def test_null_and_repeated_ids_are_documents_of_their_own(spark):
     assert out.dtypes == df.dtypes
     left = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
     assert left == sorted([(1, words("a")), (1, words("b")), (3, words("c") + " end"), (None, words("d")), (4, None), (4, None), (None, None)], key=repr)
+
+
+CLASHING = "doc_id long, text string, source string, n_chars int, score string, predicted string, label string, spans string, ranges string, size string, number string, key string, row string, _lsn string, component_id string, kept string, ids string, held_out string"
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_every_stage_with_clashing_columns_odd_rows_and_none(spark, tmp_path, some):
+    texts = [(1, "plain words stand here and there in a row"), (2, None), (3, ""), (4, " \t\n"), (None, "no id but words"), (5, "long " * 30_000), (6, "same text for two ids goes once"), (7, "same text for two ids goes once"), (8, "secret=abcdef123"), (8, "secret=abcdef123")]
+    rows = [(i, t, None if i == 3 else f"s{(i or 0) % 2}", None if t is None else len(t), *[f"x{i}"] * 14) for i, t in texts] if some else []
+    docs = spark.createDataFrame(rows, CLASHING)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, now, str(tmp_path))
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.dtypes == docs.dtypes, name
+        out.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        if some and name == "toxicity":
+            assert now.count() == len(rows)  # nothing to learn from
+        if some and name == "near_duplicates":
+            left = sorted((r.doc_id for r in now.collect()), key=repr)
+            assert left == sorted([1, 2, 3, 4, None, 5, 6, 8], key=repr)
+        if some and name == "secrets":
+            assert {r.text for r in now.collect() if r.doc_id == 8} == {"[SECRET]"}
+    assert now.count() > 0 if some else now.count() == 0
