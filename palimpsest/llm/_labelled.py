@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents_view, held_out
+from ._common import documents_view, drop_stored, held_out, stored
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, rows: int) -> DataFrame:
@@ -15,9 +15,20 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, rows:
     neither 0 nor 1, and doc_ids that are null, are left out; where rows repeat a doc_id, its largest label and text count.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(~held_out())
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("spot", F.xxhash64("doc_id")).orderBy("spot", "doc_id").limit(rows)
+    known = known.withColumn("spot", F.xxhash64("doc_id"))
+
+    def first(df: DataFrame) -> DataFrame:
+        return df.groupBy("doc_id", "spot").agg(F.max("label").alias("label")).orderBy("spot", "doc_id").limit(rows)
+
+    # Where there are many labels, hashes above a bound that leaves some twice as many as needed are passed over at the scan.
+    # Should that leave too few, as where most labels repeat or are held out, all are looked through.
+    share = 4 * rows / max(1, labels.count())
+    picked = stored(first(known.where(F.col("spot") <= int(share * 2.0**64) - (1 << 63)) if share < 0.5 else known))
+    if share < 0.5 and picked.count() < rows:
+        drop_stored(picked)
+        picked = stored(first(known))
     # At most ``rows`` small rows, whatever the corpus: safe to broadcast.
-    found = documents_view(documents).join(F.broadcast(known), "doc_id")
+    found = documents_view(documents).join(F.broadcast(picked), "doc_id")
     return found.groupBy("doc_id").agg(F.max("spot").alias("spot"), F.max("label").alias("label"), F.max("text").alias("text"))
 
 

@@ -171,3 +171,19 @@ def test_ftrl_as_written_out():
     want = {i: weight(i) for i in z if i != bias and weight(i)}
     assert dict(zip(used.tolist(), weights.tolist(), strict=True)) == pytest.approx(want, rel=1e-5)
     assert intercept == pytest.approx(weight(bias)) and share == pytest.approx(np.mean([r[2] for r in rows]))
+
+
+def test_the_sample_is_the_smallest_hashes_however_many_labels(spark):
+    from palimpsest.llm._labelled import labelled_sample
+    from pyspark.sql import functions as F
+
+    ids = list(range(3000))
+    docs = spark.createDataFrame([(i, f"text {i}", 0.0, 0, 0, "") for i in ids], DOCS)
+    marks = [(i, i % 2, 0, "") for i in ids] + [(i, 0, 0, "") for i in ids[::2]] + [(None, 1, 1, ""), (3, None, 1, "")]
+    spots = {r.i: r.h for r in spark.range(3000).select(F.col("id").alias("i"), F.xxhash64("id").alias("h")).collect()}
+    free = sorted((spots[i], i) for i in ids if zlib.crc32(str(i).encode()) % 4 != 2)
+    for rows, given in ((40, marks), (5000, marks), (40, [m for m in marks if m[0] is not None and m[0] >= 0] + [(2, 1, 1, "")] * 3000), (40, [(i, 1, 1, "") for _, i in free[-200:]])):
+        out = labelled_sample(docs, spark.createDataFrame(given, LABELS), "quality", rows).collect()
+        wanted = {m[0] for m in given if m[0] is not None and m[1] is not None}
+        assert {r.doc_id for r in out} == {i for _, i in [(h, i) for h, i in free if i in wanted][:rows]}
+        assert all(r.text == f"text {r.doc_id}" and r.spot == spots[r.doc_id] for r in out)
