@@ -47,7 +47,7 @@ MISSED = 5e-8
 #: Members that share one copy of their leader's set when sets are compared.
 SALTED = 256
 #: Edges, fingerprints, and sets of one partition where tables are stored between steps.
-EDGES_A_TASK, PRINTS_A_TASK, SETS_A_TASK = 500_000, 100_000, 20_000
+EDGES_A_TASK, PRINTS_A_TASK, SETS_A_TASK = 100_000, 20_000, 20_000
 
 _U = np.uint64
 _PLACE = seeded(max(SHINGLE, ROWS), 17) | _U(1)
@@ -241,7 +241,7 @@ def star_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def _confirmed(likely: DataFrame, docs: DataFrame, percent: int, most: int) -> DataFrame:
     """Of the distinct pairs (a, b, n_a, n_b), about ``most`` or less, those whose full sets are linked."""
-    likely = _packed(likely, most)
+    likely = _packed(likely, most, PRINTS_A_TASK)
     n = likely.count()
     wanted = likely.select(F.col("a").alias("doc_id")).distinct().unionByName(likely.select(F.col("b").alias("doc_id")).distinct()).distinct()
     sets = map_texts(docs.join(wanted, "doc_id", "left_semi"), _sets, "doc_id long, set array<long>")
