@@ -8,8 +8,8 @@ its source's size, and what is above is shared anew by weight until none is abov
    last one may be shorter. Positions are two-level prefix sums; no task holds a source.
 2. A source gets as many slots as it takes to come to its target, to the word: the last slot takes just the words that are
    left. Each output shard draws the numbers of its slots by source from a multinomial whose weights are the slots that
-   remain, so that all are used up at the end. Beyond ``MOST_GROUPS`` shards the driver draws for groups of shards, and
-   executors for the shards of each group.
+   remain, so that all are used up at the end. Beyond ``MOST_GROUPS`` shards, or ``MOST_DRAWS`` counts, the driver draws for groups
+   of shards, and executors for the shards of each group.
 3. Slot k of a source takes block ``permutation(k mod blocks)`` of round ``k div blocks``: in each round a keyed Feistel
    network permutes the indexes, so a block comes once a round and never more than ``MOST_TIMES`` times.
 4. Slots join blocks by source and index, and blocks are parts of documents by position.
@@ -33,8 +33,8 @@ from ._common import Texts, chunks, drop_stored, free_names, mixed, prepare, rea
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
 BLOCK_WORDS = 1024
-#: Words of an output shard, and groups of shards that the driver draws for.
-SHARD_WORDS, MOST_GROUPS = 1 << 20, 4096
+#: Words of an output shard; groups of shards that the driver draws for, and counts (groups by sources) that it draws, at most.
+SHARD_WORDS, MOST_GROUPS, MOST_DRAWS = 1 << 20, 4096, 1 << 20
 #: Rows of a bucket on average.
 BUCKET_ROWS = 1000
 MOST_SOURCES = 10_000
@@ -159,7 +159,8 @@ class Mix:
         schema = "number int, source string, source_size long, target double, blocks long, slots long, last_words long"
         self.sources = spark.createDataFrame([(k, r["source"], size, goal, -(-size // BLOCK_WORDS), *own) for k, (r, size, goal, own) in enumerate(zip(summary, sizes, goals, plan, strict=True))], schema)
         self.shards = max(1, -(-sum(sizes) // SHARD_WORDS))
-        self.draws = self._drawn(np.array([n for n, _ in plan], np.int64), min(self.shards, MOST_GROUPS))
+        self.groups = min(self.shards, MOST_GROUPS, max(1, MOST_DRAWS // max(1, len(sizes))))
+        self.draws = self._drawn(np.array([n for n, _ in plan], np.int64), self.groups)
         self.placed = stored(self._placed(max(1, sum(r["n"] for r in summary) // BUCKET_ROWS)))
 
     @staticmethod
@@ -199,10 +200,10 @@ class Mix:
     def slots(self) -> DataFrame:
         """shard, number, slot, round, block, most: which block of its source each output slot takes, and how many words of it at most."""
         spark = self.rows.sparkSession
-        groups, parts = min(self.shards, MOST_GROUPS), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         by_group = spark.createDataFrame(self.draws, "shard int, number int, first long, taken long")
-        if self.shards > groups:
-            each = -(-self.shards // groups)
+        if self.shards > self.groups:
+            each = -(-self.shards // self.groups)
 
             def split(batch: pa.Table) -> pa.Table:
                 batch = batch.sort_by("number")
