@@ -60,7 +60,12 @@ def undone(log: DataFrame) -> DataFrame:
 
 def redo_set(log: DataFrame, checkpoint: int = 0) -> DataFrame:
     """Changes to apply again, each once: from the checkpoint on, of winners, of autocommit, and all compensations."""
-    changes = log.where((F.col("lsn") >= checkpoint) & ~F.col("type").isin(*MARKERS)).dropDuplicates(place(log))
+    return _redone(log, checkpoint).dropDuplicates(place(log))
+
+
+def _redone(log: DataFrame, checkpoint: int = 0) -> DataFrame:
+    """``redo_set`` with entries that the log repeats: enough where only each key's newest change matters, and without a shuffle of autocommitted ones."""
+    changes = log.where((F.col("lsn") >= checkpoint) & ~F.col("type").isin(*MARKERS))
     own = changes.where("tx_id is null or type = 'CLR'")
     return own.unionByName(changes.where("tx_id is not null and type <> 'CLR'").join(winners(log), "tx_id", "left_semi").select(*changes.columns))
 
@@ -69,7 +74,7 @@ def final_state(log: DataFrame, key: list[str], columns: list[str], checkpoint:
     """Rows after recovery: the newest redone change of each key; unknown tables are passed over."""
     from .versions import latest
 
-    redo = redo_set(log, checkpoint).where("type <> 'CLR'")
+    redo = _redone(log, checkpoint).where("type <> 'CLR'")
     if tables is not None:
         redo = redo.where(F.col("table").isin(tables))
     return latest(redo, key, place(log), columns=columns, type_column="type")
@@ -89,7 +94,7 @@ def compensations(log: DataFrame, key: list[str], columns: list[str]) -> DataFra
     """
     kept = list(dict.fromkeys([*log.columns, "undo_next_lsn"]))
     tasks = undo_tasks(log).select(*kept, F.lit(None).cast("string").alias("prior_type"), *(F.lit(None).cast(log.schema[c].dataType).alias(f"prior_{c}") for c in columns), F.lit(True).alias("_task"))
-    good = redo_set(log).where("type <> 'CLR'")
+    good = _redone(log).where("type <> 'CLR'")
     good = good.select(*(F.col(c) if c in log.columns and c != "undo_next_lsn" else F.lit(None).cast(dict(tasks.dtypes)[c]).alias(c) for c in kept), F.col("type").alias("prior_type"), *(F.col(c).alias(f"prior_{c}") for c in columns), F.lit(False).alias("_task"))
     before = Window.partitionBy(*key).orderBy(*place(log)).rowsBetween(Window.unboundedPreceding, -1)
     version = F.when(~F.col("_task"), F.struct("prior_type", *(f"prior_{c}" for c in columns)))
