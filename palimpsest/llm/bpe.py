@@ -20,6 +20,7 @@ import heapq
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -376,6 +377,7 @@ class Transducer:
         """Puts the file into a folder of this machine's (a temporary one by default) unless it is there, and maps it; workers with the same folder share its pages.
 
         Files of earlier lexicons are unlinked; whoever still maps one keeps its pages. A lost executor's successor writes its own from the broadcast.
+        An executor's folder is its working folder, whose absolute name may lead through another mount, so the file is written and renamed under one name of the folder.
         """
         top = folder or tempfile.gettempdir()
         path = os.path.join(top, f"lexicon-{name}")
@@ -383,9 +385,10 @@ class Transducer:
             for old in glob.glob(os.path.join(top, "lexicon-*")):
                 with contextlib.suppress(FileNotFoundError):
                     os.unlink(old)
-            with tempfile.NamedTemporaryFile(dir=top, delete=False) as f:
+            part = os.path.join(top, f"tmp{uuid.uuid4().hex}")  # tempfile would make the name absolute
+            with open(os.open(part, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "wb") as f:
                 f.write(raw)
-            os.replace(f.name, path)
+            os.replace(part, path)
         try:
             view = np.memmap(path, np.uint8, "r")
         except FileNotFoundError:  # another lexicon's task has just unlinked it

@@ -1,4 +1,6 @@
+import errno
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -55,6 +57,25 @@ def test_the_automaton_is_minimal_and_finds_its_words_alone(vocabulary):
     assert all((again.parts[k] == v).all() for k, v in auto.parts.items())
 
 
+def test_the_working_folder_may_have_another_mount_at_its_absolute_name(vocabulary, tmp_path, monkeypatch):
+    auto = lexicon(vocabulary, ["tap", "taps", "top"])
+    own, elsewhere, replace = tmp_path / "own", tmp_path / "elsewhere", os.replace
+    own.mkdir(), elsewhere.mkdir()
+
+    def among_mounts(a, b):
+        if not os.path.samefile(os.path.dirname(a), os.path.dirname(b)):
+            raise OSError(errno.EXDEV, os.strerror(errno.EXDEV), a, None, b)
+        replace(a, b)
+
+    monkeypatch.chdir(own)
+    monkeypatch.setattr(os, "getcwd", lambda: str(elsewhere))
+    monkeypatch.setattr(os, "replace", among_mounts)
+    for _ in range(2):  # written, then found
+        mapped = B.Transducer.mapped(auto.to_bytes(), "x", ".")
+        assert all((mapped.parts[k] == v).all() for k, v in auto.parts.items())
+    assert os.listdir(own) == ["lexicon-x"] and not os.listdir(elsewhere)
+
+
 def test_query_columns_match_the_library(spark, library):
     given = [*texts()[:60], "word " * 2000]
     rows = [(i, t, "x", 1, "y") for i, t in enumerate(given)] + [(900, None, "x", 1, "y"), (3, given[3], "x", 1, "y")]
