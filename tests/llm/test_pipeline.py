@@ -1,5 +1,8 @@
+import os
 import random
 import re
+import tempfile
+from types import SimpleNamespace
 
 import pytest
 
@@ -102,3 +105,18 @@ def test_every_stage_with_clashing_columns_odd_rows_and_none(spark, tmp_path, so
         if some and name == "secrets":
             assert {r.text for r in now.collect() if r.doc_id == 8} == {"[SECRET]"}
     assert now.count() > 0 if some else now.count() == 0
+
+
+def test_the_last_stage_where_the_executors_folder_has_another_file_system_at_its_absolute_name(spark, tmp_path, monkeypatch):
+    if not os.path.isdir("/dev/shm") or os.stat("/dev/shm").st_dev == os.stat(tmp_path).st_dev:
+        pytest.skip("one file system alone")
+    texts = ["the common words", "", None, "the common words of others, the common words"]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    with tempfile.TemporaryDirectory(dir="/dev/shm") as own:
+        os.mkdir(f"{own}/below")
+        (tmp_path / "link").symlink_to(f"{own}/below")
+        folder = f"{tmp_path}/link/.."  # own, but os.path.abspath makes it tmp_path
+        monkeypatch.setattr(corpus_pipeline.bpe, "SparkFiles", SimpleNamespace(getRootDirectory=lambda: folder))
+        rows = corpus_pipeline.encode(spark, df, "").collect()
+        assert sorted(r.doc_id for r in rows) == [0, 1, 2, 3] and all(r.round_trip and r.n_tokens == len(r.ids) and bool(r.ids) == bool(texts[r.doc_id]) for r in rows)
+        assert [x.split("-")[0] for x in sorted(os.listdir(own))] == ["below", "lexicon"] and os.listdir(tmp_path) == ["link"]
